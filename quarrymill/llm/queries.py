@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_count import count_tokens
 from .common import table
 from .mixing import plan_mix
+from .simhash import near_duplicate_groups
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_tokens(table(spark, sf_dir, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +55,9 @@ SELECT doc_id, size, source_size, target,
        size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_mix_sources": op8_mix_sources}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
+    "op7_simhash_groups": op7_simhash_groups,
+    "op8_mix_sources": op8_mix_sources,
+}
 SQL: dict[str, str] = {"op8_mix_sources": OP8_SQL}
