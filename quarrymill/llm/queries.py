@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_count import count_tokens
-from .common import table
+from .common import fresh_path, table
 from .mixing import plan_mix
 from .simhash import near_duplicate_groups
+from .token_file import read_tokens, write_tokens
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token_file")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path).withColumnRenamed("id", "doc_id")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +63,7 @@ SELECT doc_id, size, source_size, target,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_file": op1_token_file,
     "op3_token_counts": op3_token_counts,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_mix_sources": op8_mix_sources,
