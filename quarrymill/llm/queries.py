@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_count import count_tokens
 from .common import fresh_path, table
+from .decontaminate import contamination
 from .mixing import plan_mix
 from .simhash import near_duplicate_groups
 from .token_file import read_tokens, write_tokens
@@ -20,6 +21,18 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -35,6 +48,29 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM bw
+), dw AS (
+  SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)
+), hit AS (SELECT DISTINCT rid, n, s, win FROM dw WHERE win IN (SELECT win FROM bw)
+), words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit JOIN bw USING (win) WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -64,8 +100,9 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_mix_sources": op8_mix_sources,
 }
-SQL: dict[str, str] = {"op8_mix_sources": OP8_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL}
