@@ -11,6 +11,7 @@ from .bpe_count import count_tokens
 from .common import fresh_path, table
 from .decontaminate import contamination
 from .mixing import plan_mix
+from .repetition import repetition_rules
 from .simhash import near_duplicate_groups
 from .token_file import read_tokens, write_tokens
 
@@ -38,6 +39,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_mix_sources": op8_mix_sources,
 }
