@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_count import count_tokens
-from .common import fresh_path, table
+from .common import fresh_path, table, written
 from .decontaminate import contamination
 from .mixing import plan_mix
+from .quality import features, fit_on_labels, held_out, score
 from .repetition import repetition_rules
 from .simhash import near_duplicate_groups
 from .token_file import read_tokens, write_tokens
@@ -43,6 +44,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = written(features(table(spark, sf_dir, "documents")), "features")
+    scored = score(measured, fit_on_labels(measured, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_mix_sources": op8_mix_sources,
 }
