@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_count import count_tokens
 from .common import fresh_path, table, written
 from .decontaminate import contamination
+from .main_text import extract_main_text
 from .mixing import plan_mix
 from .quality import features, fit_on_labels, held_out, score
 from .repetition import repetition_rules
@@ -40,6 +41,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_main_text": op4_main_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_groups": op7_simhash_groups,
