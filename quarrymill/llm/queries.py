@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_count import count_tokens
 from .common import fresh_path, table, written
 from .decontaminate import contamination
+from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_scan
 from .main_text import extract_main_text
 from .mixing import plan_mix
 from .quality import features, fit_on_labels, held_out, score
@@ -66,6 +67,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return licence_scan(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "licence", "origin", "cosine")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -125,6 +132,49 @@ SELECT doc_id, size, source_size, target,
        size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM d
 """
 
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+OP9_SQL = rf"""
+WITH files AS (
+  SELECT doc_id, text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(doc_id::VARCHAR, '') AS path FROM documents
+), f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files
+), lines AS (
+  SELECT path, line, max(n_words) AS n_words FROM (
+    SELECT path, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words, unnest(string_split(text, chr(10))) AS line FROM f
+  ) WHERE regexp_matches(line, '{CUE}') GROUP BY path, line
+), total AS (SELECT count(*)::DOUBLE AS n FROM lines
+), templates(no, licence, text) AS (VALUES {_TEMPLATE_ROWS}
+), tt AS (SELECT no, licence, term, count(*) AS tf FROM (SELECT no, licence, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM templates) GROUP BY ALL
+), counted AS (SELECT path, line, n_words, term, count(*) AS tf FROM (SELECT path, line, n_words, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM lines) GROUP BY ALL
+), vocab AS (
+  SELECT term, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt)
+  LEFT JOIN (SELECT term, count(*) AS df FROM counted GROUP BY term) USING (term), total
+), known AS (SELECT no, licence, term, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY no)) AS t_norm FROM tt JOIN vocab USING (term)
+), weighted AS (
+  SELECT *, sqrt(sum(w * w) OVER (PARTITION BY path, line)) AS norm FROM (
+    SELECT path, line, n_words, term, tf * coalesce(idf, ln((1.0 + n) / 2.0) + 1) AS w FROM counted LEFT JOIN vocab USING (term), total)
+), near AS (
+  SELECT path, line, n_words, licence, round(sum(w * tw) / (any_value(norm) * any_value(t_norm)), 6) AS cosine
+  FROM weighted JOIN known USING (term) GROUP BY path, line, n_words, no, licence HAVING round(sum(w * tw) / (any_value(norm) * any_value(t_norm)), 6) >= {MIN_COSINE}
+), best AS (SELECT path, line, n_words, max(cosine) AS c FROM near GROUP BY ALL
+), own AS (
+  SELECT path, arg_min(licence, (-cosine, licence)) AS own, max(cosine) AS cosine FROM near GROUP BY path
+), held AS (
+  SELECT path, sum(len(regexp_extract_all(line, '[^ 	-]+'))) AS held, max(n_words) AS n_words FROM best GROUP BY path
+), ownf AS (
+  SELECT path, own, cosine, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}') OR 2 * held >= n_words AS is_file FROM own JOIN held USING (path)
+), by_dir AS (
+  SELECT dir AS above, arg_min(own, (-n, own)) AS licence FROM (
+    SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own, count(*) AS n FROM ownf WHERE is_file GROUP BY ALL) GROUP BY dir
+), anc AS (
+  SELECT dir, d AS depth, array_to_string(string_split(dir, '/')[1:d], '/') AS above
+  FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS d FROM (SELECT DISTINCT dir FROM f))
+), nearest AS (SELECT dir, arg_max(licence, depth) AS inherited FROM anc JOIN by_dir USING (above) GROUP BY dir)
+SELECT doc_id, f.path, coalesce(own, inherited, '') AS licence,
+       CASE WHEN own IS NULL THEN CASE WHEN inherited IS NULL THEN 'none' ELSE 'inherited' END WHEN is_file THEN 'file' ELSE 'header' END AS origin,
+       coalesce(cosine, 0.0)::DOUBLE AS cosine
+FROM f LEFT JOIN ownf ON f.path = ownf.path LEFT JOIN nearest ON f.dir = nearest.dir
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_decontamination": op2_decontamination,
@@ -134,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_mix_sources": op8_mix_sources,
+    "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_licences": OP9_SQL}
