@@ -114,3 +114,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     per = per.withColumn("n_hit", covered).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return per.select(F.col("id").alias(id_col), "text_hash", F.col("n_words").cast("long").alias("n_words"), "n_hit", "item_ids")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have no word in an occurrence of a benchmark window."""
+    found = contamination(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
+    return marked.join(written(found, "contaminated"), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti").select(*docs.columns)

@@ -184,3 +184,16 @@ def fit_on_labels(measured: DataFrame, labels: DataFrame) -> Discriminant:
     """Fit on the labelled documents that are not held out; ``labels`` has doc_id and quality."""
     learn = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
     return fit(measured.join(learn, measured["id"] == F.col("_id")).select("x", "y"))
+
+
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts = ((t.as_py() or "").encode() for t in b.column(at))
+            x = np.array([text_features(t) for t in texts]).reshape(b.num_rows, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -56,15 +56,15 @@ def text_fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)``: one row per document, the 64 bits as a signed long."""
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """``(id, text_hash, fp)``: one row per document, the 64 bits as a signed long."""
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((text_fingerprint(t.as_py(), n, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +122,30 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp, component_id)``, a row per document; component_id is the smallest id that links reach."""
+    """``(id, text_hash, fp, component_id)``, a row per document; component_id is the smallest id that links reach."""
     prints = written(fingerprints(docs, id_col, text_col, n, seed), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     roots = connected_components(fingerprint_links(nodes))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = written(rooted.join(lowest, "root").select("fp", "component_id"), "classes")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id")
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row whose id is the group's.
+
+    Where several rows have that id, the one with the smallest text hash stays, and one of equal rows. Of a group of
+    null ids alone, one row stays.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, n, seed).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    # Null ids have no component of their own: their fingerprint tells the groups apart.
+    apart = F.when(F.col(id_col).isNull(), F.col("fp"))
+    chosen = written(groups.groupBy(F.col(id_col).alias("_id"), apart.alias("_apart")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")), "chosen")
+    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
+    kept = marked.join(chosen, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    once = kept.filter("_n = 1")
+    if not chosen.filter("_n > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_id", "_own").orderBy(F.lit(1)))
+        once = once.union(kept.filter("_n > 1").withColumn("_place", place).filter("_place = 1").drop("_place"))
+    return once.select(*docs.columns)
