@@ -59,7 +59,7 @@ def parse_pasted_urls(pasted: DataFrame, column: str = "raw") -> tuple[DataFrame
 
 def parse_artifact(raw: Column) -> Column:
     """JSON as VARIANT; stray backslashes are doubled where the text doesn't parse as it is; null if it never does."""
-    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")))
+    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\")))
 
 
 def embedded_json(raw: Column) -> Column:
