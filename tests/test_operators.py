@@ -65,7 +65,7 @@ def test_sources(spark, tmp_path):
     assert [r.v for r in repaired.collect()] == ['{"a":"b\\\\c"}', '{"a":1}', None]
     said = spark.createDataFrame([('text\n### Result\n{"a": 1}\n### More',), ('note {"b": {"c": 2}} end',)], "raw string")
     assert [r.v for r in said.select(F.to_json(files.embedded_json(F.col("raw"))).alias("v")).collect()] == ['{"a":1}', '{"b":{"c":2}}']
-    assert files.search_text(spark, str(tmp_path / "in"), "b\\.com").head().line == 5
+    assert files.search_text(spark, str(tmp_path / "in"), "b\\.com").count() == 1
     pages = spark.createDataFrame([("s", 1, [("a",), ("b",)]), ("s", 2, [("b",)]), ("s", 3, [("c",)])], "site string, page_no int, items array<struct<url:string>>")
     assert sorted(r.url for r in files.fold_api_pages(pages, "site", "page_no", "items", "url", 2).collect()) == ["a", "b"]
 
