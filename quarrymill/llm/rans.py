@@ -16,6 +16,7 @@ LANES = 4
 BLOCK_ROWS = 512
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
+_LOW_WORD = np.uint64(0xFFFFFFFF)
 _U = np.uint64
 
 
@@ -42,8 +43,8 @@ class Coder:
 
     def __init__(self, freq: np.ndarray):
         freq = np.asarray(freq, np.int64)
-        self.freq = freq.astype(np.uint64)
-        self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
+        # Frequency above and cumulative frequency below in one word: one look-up gives both.
+        self.packed = freq.astype(np.uint64) << _WORD | (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
         self.pad = int(np.argmax(freq)) if len(freq) else 0
 
@@ -82,15 +83,18 @@ class Coder:
         for r in range(top - 1, -1, -1):
             k = int(active[r])
             s = padded[(base[:k] + r * LANES)[:, None] + lanes]
-            f, x = self.freq[s], state[:k]
+            both, x = self.packed.take(s), state[:k]
+            f = both >> _WORD
             full = x >= f << _U(63 - PRECISION)
-            rank = full.cumsum(axis=1)
+            rank = full.cumsum(axis=1, dtype=np.int64)
             at[:k] -= rank[:, -1]
-            row, lane = np.nonzero(full)
-            words[at[row] + rank[row, lane] - 1] = x[row, lane] & _U(0xFFFFFFFF)
-            x[row, lane] >>= _WORD
+            put = np.flatnonzero(full)
+            flat = x.reshape(-1)  # a view: the states of the first k blocks lie together
+            moved = flat[put]
+            words[(rank + (at[:k, None] - 1)).reshape(-1)[put]] = moved & _LOW_WORD
+            flat[put] = moved >> _WORD
             q = x // f
-            state[:k] = (q << _U(PRECISION)) + (x - q * f) + self.cum[s]
+            state[:k] = (q << _U(PRECISION)) + (x - q * f) + (both & _LOW_WORD)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         at, end, state = at[back], end[back], state[back]  # in the documents' order again
@@ -107,7 +111,7 @@ class Coder:
         """``(ids, starts)``: the documents' ids; document i has ``sizes[i]`` of them from ``starts[i]`` on."""
         sizes = np.asarray(sizes, np.int64)
         rows = -(-sizes // LANES)
-        words = np.frombuffer(b"".join(w for w, _ in blocks) + bytes(4), np.uint32)
+        words = np.frombuffer(b"".join(w for w, _ in blocks) + bytes(4), np.uint32).astype(np.uint64)
         start = np.cumsum([0, *(len(w) // 4 for w, _ in blocks)])[:-1]
         marks = np.frombuffer(b"".join(m for _, m in blocks), np.uint64).reshape(-1, LANES + 1)
         doc, length, first, order = self._blocks(sizes)
@@ -123,13 +127,15 @@ class Coder:
             k = int(active[r])
             x = state[:k]
             slot = x & mask
-            s = self.symbol[slot]
+            s = self.symbol.take(slot.view(np.int64))
             out[(to[:k] + r * LANES)[:, None] + lanes] = s
-            x = self.freq[s] * (x >> _U(PRECISION)) + slot - self.cum[s]
+            both = self.packed.take(s)
+            x = (both >> _WORD) * (x >> _U(PRECISION)) + slot - (both & _LOW_WORD)
             low = x < _LOW
-            rank = low.cumsum(axis=1)
-            row, lane = np.nonzero(low)
-            x[row, lane] = x[row, lane] << _WORD | words[at[row] + rank[row, lane] - 1].astype(np.uint64)
+            rank = low.cumsum(axis=1, dtype=np.int64)
+            get = np.flatnonzero(low)
+            flat = x.reshape(-1)
+            flat[get] = flat[get] << _WORD | words[(rank + (at[:k, None] - 1)).reshape(-1)[get]]
             at[:k] += rank[:, -1]
             state[:k] = x
         return out, (np.cumsum(rows) - rows) * LANES

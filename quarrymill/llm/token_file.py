@@ -17,9 +17,11 @@ Defined results: a null or empty text is the end id alone; null ids come last; r
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,15 @@ from .rans import Coder, table
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
 #: Words whose ids a worker remembers before the older half goes.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_400_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
 
+#: Marks that, after letters, make one pre-token.
+_TAIL = ".,;:!?#$%&*|)\"-"
+
+
 class WordEncoder:
     """Text to ids with the tokenizers library, which sees every distinct word once while the memo holds it.
 
@@ -51,21 +57,55 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(vocabulary)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") or "\0"
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for token, i in self.tok.get_vocab(with_added_tokens=True).items() if token.endswith(suffix)]] = True
         self.limit, self.memo, self.old = max(1, memo_words // 2), {}, {}
 
+    def _library(self, words: list[str]) -> None:
+        """Learn words from the library.
+
+        Words of letters alone are one pre-token each: many are encoded as one text and cut after the tokens that end
+        a word. A lower-cased letter may cease to be one; then, and for all other words, the library tells the words
+        apart itself.
+        """
+        width, groups = self.dtype.itemsize, []
+        plain = [w for w in words if w.isalpha()]
+        for at in range(0, len(plain), 2000):
+            group = plain[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                groups.append((group, ids.tobytes(), [0, *(ends * width).tolist()]))
+            else:
+                self._apart(group, groups)
+        self._apart([w for w in words if not w.isalpha()], groups)
+        for group, raw, cuts in groups:
+            self.memo.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+
+    def _apart(self, words: list[str], groups: list) -> None:
+        for at in range(0, len(words), 256):
+            group = words[at : at + 256]
+            e = self.tok.encode(group, is_pretokenized=True, add_special_tokens=False)
+            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(group) + 1)) * self.dtype.itemsize
+            groups.append((group, np.array(e.ids, self.dtype).tobytes(), cuts.tolist()))
+
     def _learn(self, words: list[str]) -> None:
-        memo, width, unknown = self.memo, self.dtype.itemsize, []
+        memo, old, unknown, ended = self.memo, self.old, set(), []
         for w in words:
-            if (ids := self.old.get(w)) is None:
-                unknown.append(w)
-            else:
+            if (ids := old.get(w)) is not None:
                 memo[w] = ids
-        for at in range(0, len(unknown), 256):
-            group = unknown[at : at + 256]
-            e = self.tok.encode(group, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, self.dtype).tobytes()
-            cuts = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(group) + 1)) * width).tolist()
-            memo.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+            elif (base := w.rstrip(_TAIL)) != w and normalize("NFC", base).lower().isalpha():  # letters, then one pre-token of marks
+                ended.append((w, base, w[len(base) :]))
+            else:
+                unknown.add(w)
+        for part in {x for _, base, tail in ended for x in (base, tail)}.difference(memo):
+            if (ids := old.get(part)) is not None:
+                memo[part] = ids
+            else:
+                unknown.add(part)
+        self._library(list(unknown))
+        memo.update((w, memo[base] + memo[tail]) for w, base, tail in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
