@@ -18,13 +18,14 @@ Defined results: a null or empty text is the end id alone; null ids come last; r
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,22 +34,27 @@ from .rans import Coder, table
 
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
-#: Words whose ids a worker remembers before the older half goes.
+#: Words and pre-tokens whose ids a worker remembers before the older half goes.
 MEMO_WORDS = 1_400_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
 
-#: Marks that, after letters, make one pre-token.
-_TAIL = ".,;:!?#$%&*|)\"-"
+#: Documents are tokenized in groups of about so many bytes; a longer document is a group of its own.
+GROUP_BYTES = 3_000_000
+#: Texts of these characters alone are lower-cased alike by Python and the library, and stay as they are under NFC.
+_LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba-\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
+# The vocabulary's pre-tokens, for lower-cased words of such characters.
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class WordEncoder:
-    """Text to ids with the tokenizers library, which sees every distinct word once while the memo holds it.
+    """Text to ids with the tokenizers library, which sees every distinct pre-token once while the memo holds it.
 
     No pre-token of the vocabulary spans white space and normalisation doesn't either, so the ids of a text are those
-    of its white-space separated words. Texts with one of the four separators that Python takes for white space and
-    the library doesn't go to the library whole.
+    of its white-space separated words, and a word's ids are those of its pre-tokens. Pre-tokens are already
+    normalised when the library gets them, so its copy here only splits at white space. Texts with other characters
+    than Latin ones and common punctuation, or with a special string, go to the library whole.
     """
 
     def __init__(self, vocabulary: str, memo_words: int = MEMO_WORDS):
@@ -57,66 +63,74 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(vocabulary)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") or "\0"
+        spec = json.loads(self.tok.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for token, i in self.tok.get_vocab(with_added_tokens=True).items() if token.endswith(suffix)]] = True
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        self.of_pre_tokens = Tokenizer.from_str(json.dumps(spec))
         self.limit, self.memo, self.old = max(1, memo_words // 2), {}, {}
 
-    def _library(self, words: list[str]) -> None:
-        """Learn words from the library.
-
-        Words of letters alone are one pre-token each: many are encoded as one text and cut after the tokens that end
-        a word. A lower-cased letter may cease to be one; then, and for all other words, the library tells the words
-        apart itself.
-        """
-        width, groups = self.dtype.itemsize, []
-        plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 2000):
-            group = plain[at : at + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
+    def _library(self, parts: list[str]) -> None:
+        """Learn pre-tokens: many are encoded as one text, which is cut after the tokens that end a word."""
+        width = self.dtype.itemsize
+        for at in range(0, len(parts), 2000):
+            group = parts[at : at + 2000]
+            ids = np.array(self.of_pre_tokens.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                groups.append((group, ids.tobytes(), [0, *(ends * width).tolist()]))
-            else:
-                self._apart(group, groups)
-        self._apart([w for w in words if not w.isalpha()], groups)
-        for group, raw, cuts in groups:
-            self.memo.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
-
-    def _apart(self, words: list[str], groups: list) -> None:
-        for at in range(0, len(words), 256):
-            group = words[at : at + 256]
-            e = self.tok.encode(group, is_pretokenized=True, add_special_tokens=False)
-            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(group) + 1)) * self.dtype.itemsize
-            groups.append((group, np.array(e.ids, self.dtype).tobytes(), cuts.tolist()))
-
-    def _learn(self, words: list[str]) -> None:
-        memo, old, unknown, ended = self.memo, self.old, set(), []
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                memo[w] = ids
-            elif (base := w.rstrip(_TAIL)) != w and normalize("NFC", base).lower().isalpha():  # letters, then one pre-token of marks
-                ended.append((w, base, w[len(base) :]))
-            else:
-                unknown.add(w)
-        for part in {x for _, base, tail in ended for x in (base, tail)}.difference(memo):
-            if (ids := old.get(part)) is not None:
-                memo[part] = ids
-            else:
-                unknown.add(part)
-        self._library(list(unknown))
-        memo.update((w, memo[base] + memo[tail]) for w, base, tail in ended)
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            raw, cuts = ids.tobytes(), [0, *(ends * width).tolist()]
+            self.memo.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def _learn(self, words: set[str]) -> None:
+        memo, old = self.memo, self.old
+        known = words & old.keys() if old else ()
+        memo.update(zip(known, map(old.__getitem__, known)))
+        unknown = words.difference(known)
+        whole = set(filter(str.isalpha, unknown))
+        mixed = [(w, _PRE_TOKEN.findall(w)) for w in unknown.difference(whole)]
+        parts = whole.union(*[p for _, p in mixed]).difference(memo)
+        known = parts & old.keys() if old else ()
+        memo.update(zip(known, map(old.__getitem__, known)))
+        self._library(list(parts.difference(known)))
+        memo.update((w, b"".join(map(memo.__getitem__, p))) for w, p in mixed)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        cut = [[] if not t or i in whole else t.split() for i, t in enumerate(texts)]
+        """The ids of each text, without an end id."""
+        ids, sizes = self.encode_array(pa.array(texts, pa.string()), 0)
+        return [own[:-1].tobytes() for own in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def encode_array(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)``: the ids of all texts one after another, ``end_id`` after each, and how many a text has.
+
+        Arrow lowers, splits and numbers the words, so that Python meets each distinct word of the group once.
+        """
+        strings = texts.to_pylist()
+        whole = [i for i, t in enumerate(strings) if t and (not _LATIN.fullmatch(t) or any(s in t for s in self.special))]
+        mask = np.zeros(len(strings), bool)
+        mask[whole] = True
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(mask), "", pc.fill_null(texts, ""))))
+        coded = cut.flatten().dictionary_encode()
+        words, last = coded.dictionary.to_pylist(), np.asarray(cut.offsets)[1:]
         if len(self.memo) > self.limit:
             self.old, self.memo = self.memo, {}
-        self._learn(list(set().union(*cut).difference(self.memo)))
-        out = [b"".join(map(self.memo.__getitem__, words)) for words in cut]
-        for i in whole:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
-        return out
+        self._learn(set(words).difference(self.memo))
+        raw = list(map(self.memo.__getitem__, words))
+        # After the words: the end id, then the texts that go to the library whole.
+        raw += [np.array([end_id], self.dtype).tobytes(), *(np.array(self.tok.encode(strings[i], add_special_tokens=False).ids, self.dtype).tobytes() for i in whole)]
+        number = np.insert(
+            np.asarray(coded.indices), np.concatenate((last[whole], last)).astype(np.int64), np.concatenate((len(words) + 1 + np.arange(len(whole)), np.full(len(last), len(words))))
+        )
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        n = size[number]
+        to = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[number] - (to - n)
+        ids = np.frombuffer(b"".join(raw), self.dtype)[np.repeat(shift, n) + np.arange(to[-1] if len(to) else 0)]
+        ends = np.concatenate(([0], to[np.flatnonzero(number == len(words))]))
+        return ids, np.diff(ends)
 
 
 @lru_cache(maxsize=2)
@@ -131,20 +145,19 @@ def _encoder(vocabulary: str | None) -> WordEncoder:
 def _tokenise(vocabulary: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        end = np.array([end_id], encoder.dtype).tobytes()
         counts = np.zeros(encoder.size, np.int64)
         names = ["id", "n_tokens", "ids", "counted", "counts"]
-        no_list, no_counts = pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.int64()))
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]
-                counts += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=encoder.size)
-                n = pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64())
+            for a, z in _groups(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), GROUP_BYTES):
+                b = batch.slice(a, z - a)
+                ids, n = encoder.encode_array(b.column(1), end_id)
+                counts += np.bincount(ids, minlength=encoder.size)
+                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32) * ids.itemsize
+                coded = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
                 none = pa.nulls(b.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), coded, none, none], names)
         if id_type is not None:
             seen = np.flatnonzero(counts)
             no_list, no_counts = pa.array([seen], pa.list_(pa.int64())), pa.array([counts[seen]], pa.list_(pa.int64()))
@@ -154,7 +167,7 @@ def _tokenise(vocabulary: str | None, end_id: int):
 
 
 def _groups(sizes: list[int], most: int = GROUP_TOKENS) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` ids; a longer document is a range of its own."""
+    """Row ranges whose sizes add up to about ``most``; a larger document is a range of its own."""
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most:
