@@ -35,13 +35,13 @@ from .rans import Coder, table
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
 #: Words and pre-tokens whose ids a worker remembers before the older half goes.
-MEMO_WORDS = 1_400_000
+MEMO_WORDS = 1_200_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
 
 #: Documents are tokenized in groups of about so many bytes; a longer document is a group of its own.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 2_500_000
 #: Texts of these characters alone are lower-cased alike by Python and the library, and stay as they are under NFC.
 _LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba-\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
 # The vocabulary's pre-tokens, for lower-cased words of such characters.
@@ -127,8 +127,8 @@ class WordEncoder:
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
         n = size[number]
         to = np.cumsum(n)
-        shift = (np.cumsum(size) - size)[number] - (to - n)
-        ids = np.frombuffer(b"".join(raw), self.dtype)[np.repeat(shift, n) + np.arange(to[-1] if len(to) else 0)]
+        shift = ((np.cumsum(size) - size)[number] - (to - n)).astype(np.int32)  # a group is far below 2^31 ids
+        ids = np.frombuffer(b"".join(raw), self.dtype)[np.repeat(shift, n) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)]
         ends = np.concatenate(([0], to[np.flatnonzero(number == len(words))]))
         return ids, np.diff(ends)
 
