@@ -21,7 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from .rans import Coder, table
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
 #: Words and pre-tokens whose ids a worker remembers before the older half goes.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 900_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
@@ -60,19 +60,28 @@ class WordEncoder:
     def __init__(self, vocabulary: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(vocabulary)
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        spec = json.loads(self.tok.to_str())
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = max(ids.values()) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         suffix = spec["model"].get("end_of_word_suffix") or "\0"
         self.ends_word = np.zeros(self.size, bool)
-        self.ends_word[[i for token, i in self.tok.get_vocab(with_added_tokens=True).items() if token.endswith(suffix)]] = True
+        self.ends_word[[i for token, i in ids.items() if token.endswith(suffix)]] = True
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
         self.of_pre_tokens = Tokenizer.from_str(json.dumps(spec))
         self.limit, self.memo, self.old = max(1, memo_words // 2), {}, {}
 
+    @cached_property
+    def tok(self):
+        """The library's tokenizer as it is, made only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _library(self, parts: list[str]) -> None:
         """Learn pre-tokens: many are encoded as one text, which is cut after the tokens that end a word."""
         width = self.dtype.itemsize
