@@ -28,9 +28,9 @@ SCOPE = 300
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-#: Weak kinds; a possessive start keeps a run from being cut in two.
-IDENT = r"""(?i:\b(?:user(?:name)?|login|account(?:_?(?:id|name))?|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,64})"""
-KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+#: Weak kinds. A key may follow "=", ":" or a quote and a name may follow "_" or "-", so env files (DB_USER=x) are read.
+IDENT = r"""(?i:(?<![\p{L}\p{N}])(?:user(?:name)?|login|account(?:_?(?:id|name))?|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,64})"""
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,200}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)"
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 BASE = 3
