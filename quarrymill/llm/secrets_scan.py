@@ -4,13 +4,12 @@ Each kind's matches are found with one regular expression per kind: the matches
 the text is cut there, and running lengths give the code-point spans. Base kinds (assignments, access identifiers, hex
 runs) are always reported.
 
-Further kinds are weak alone: an ``ident`` (account, user or key id set to a value), a ``key`` (a mixed run of 32 to 128
+Further kinds are weak alone: an ``ident`` (account, user or key id set to a value), a ``key`` (a mixed run of 32 or more
 base64 characters) and an ``endpoint`` (a URL with host, or host and port). They are reported only with what complements
 them inside one scope, here at most ``SCOPE`` code points apart in the same document: an identifier (ident or access)
 needs secret material (key, assign or hex) and the other way round; an endpoint needs both. Parts are joined by
-document and by scope-sized bins, an interval join in which a bin holds no more parts than fit into its characters;
-before the join, parts of a class that share a bin are reduced to the first and the last, which are the only ones that a
-neighbouring part can depend on.
+document and by the scope-sized bins that they span, an interval join; before the join, the parts of a class in a bin
+are reduced to the first start and the last end, which are all that a neighbouring part can depend on.
 
 Defined results: a null or empty text has no span; repeated rows give a row each; an empty table gives an empty result;
 only id and text columns are read.
@@ -29,9 +28,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Weak kinds. A key may follow "=", ":" or a quote and a name may follow "_" or "-", so env files (DB_USER=x) are read.
-IDENT = r"""(?i:(?<![\p{L}\p{N}])(?:user(?:name)?|login|account(?:_?(?:id|name))?|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,64})"""
-KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?:\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,200}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)"
+IDENT = r"""(?i:(?<![\p{L}\p{N}])(?:user(?:name)?|login|account(?:_?(?:id|name))?|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}+)"""
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?:\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)"
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 BASE = 3
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -77,14 +76,14 @@ def link_credentials(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     each = rows.filter(F.exists("parts", lambda p: p["k"] >= BASE)).select("row", F.inline("parts"))
     # Class 0: identifiers, 1: secret material, 2: endpoints.
     each = each.withColumn("c", F.get(F.array(*[F.lit(x) for x in (1, 0, 1, 0, 1, 2)]), F.col("k")))
-    each = each.withColumn("bin", F.floor(F.col("s") / scope).cast("int"))
-    edges = each.filter("c < 2").groupBy("row", "bin", "c").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("e").alias("e0"), F.max("e").alias("e1"))
-    # A part reaches [s - scope, e + scope]; it looks at the bins that this range can meet, and at parts that start before.
-    reach = F.sequence(F.floor((F.col("s") - 2 * scope) / scope).cast("int"), F.floor((F.col("e") + scope) / scope).cast("int"))
+    # A part is in all bins that it spans. A bin at the left border of a part's reach lies left of the part's end and one at the
+    # right border right of its start, so the first start and the last end of a bin tell whether any of its parts is in reach.
+    spanned = F.sequence(F.floor(F.col("s") / scope).cast("int"), F.floor(F.col("e") / scope).cast("int"))
+    edges = each.filter("c < 2").select("row", "s", "e", F.col("c").alias("c2"), F.explode(spanned).alias("bin")).groupBy("row", "bin", "c2").agg(F.min("s").alias("a0"), F.max("e").alias("b1"))
+    reach = F.sequence(F.floor((F.col("s") - scope) / scope).cast("int"), F.floor((F.col("e") + scope) / scope).cast("int"))
     looking = each.filter(F.col("k") >= BASE).select("row", "s", "e", "k", "c", F.explode(reach).alias("bin"))
-    near = looking.join(edges.withColumnsRenamed({"c": "c2", "s0": "a0", "s1": "a1", "e0": "b0", "e1": "b1"}), ["row", "bin"])
-    # In a bin to the right of the part the first start counts, to the left the last end; in its own bin either.
-    meets = ((F.col("a0") <= F.col("e") + scope) & (F.col("a0") >= F.col("s"))) | ((F.col("b1") >= F.col("s") - scope) & (F.col("a0") <= F.col("s")))
+    near = looking.join(edges, ["row", "bin"])
+    meets = (F.col("a0") <= F.col("e") + scope) & (F.col("b1") >= F.col("s") - scope)
     met = near.filter(meets & (F.col("c2") != F.col("c"))).groupBy("row", "s", "e", "k", "c").agg(F.max((F.col("c2") == 0).cast("int")).alias("ident"), F.max((F.col("c2") == 1).cast("int")).alias("material"))
     kept = met.filter("(c = 0 AND material = 1) OR (c = 1 AND ident = 1) OR (c = 2 AND ident = 1 AND material = 1)")
     linked = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("linked"))
