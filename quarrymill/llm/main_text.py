@@ -3,8 +3,13 @@
 Markup is stripped so that each block element becomes a line. Elements that are never article text go with their
 content: scripts, styles, heads, forms, navigation, headers outside an article, footers, asides, and elements whose
 class, id or role names a menu, advert, notice or comment section. Navigation, headers, footers, asides and forms leave
-empty lines, and so do the borders of an article or main element; where a page has such an element, the lines outside
-it are empty too.
+empty lines, and so do the borders of an article or main element.
+
+A name that is only a part of a class or id (``content-social``, ``with-sidebar``), or that stands on an article, is
+doubtful, unless all parts name boilerplate or it names comments: the element comes back where it holds four times the text
+of the rest of the page, or an article longer than that rest; a main element never goes by its name. Article text and the page's other text compete: the text of the articles is
+taken unless one surge outside them has more text than the longest of them (and, where an article has the h1, at least
+three lines); then the articles are teasers and empty.
 
 Over the lines, text lengths (without link text) of three lines in turn are summed. Text surges where these blocks rise
 from nothing and dives where they fall back to nothing; the text between is kept if one of its blocks passes the
@@ -43,7 +48,11 @@ _BOILERPLATE = re.compile(
     r"signup|login|share|sharing|social|related|recommended|comments?|respond|replies|disqus|reviews?|pagination|pager|toolbar|search|widget|contentinfo|complementary|navigation)(?:$|[\s_-])",
     re.I,
 )
+_REPLIES = re.compile(r"(?:^|[_-])(?:comments?|respond|replies|disqus|reviews?)(?:$|[_-])", re.I)
+_STATE = re.compile(r"(?:^|[_-])(?:with|has|no|without|is|show|hide)[_-]", re.I)
 _ARTICLE = frozenset(("article", "main"))
+#: A doubtful element comes back if it has so many times the text of the rest.
+HOLDS = 4
 _ENDED_BY_NEXT = frozenset("p li dt dd tr td th".split())
 
 
@@ -73,38 +82,64 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = stop.start()
 
 
-def lines_of(page: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, int]]:
-    """The page's lines in order, each with its text and the text's length without links; stripped parts are empty."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, drops its content
+def _named(name: str, value: str) -> str:
+    """Whether an element's names mark it as boilerplate: "" no, "part" by a part of a name only, "whole"."""
+    found = ""
+    for v in _NAMED.findall(value):
+        for x in v.strip("\"'").split():
+            if _BOILERPLATE.search(x):
+                whole = all(_BOILERPLATE.search(part) for part in re.split("[_-]", x)) or (_REPLIES.search(x) and not _STATE.search(x)) or x.lower() == "side-bar"
+                if whole:
+                    return "part" if name == "article" else "" if name == "main" else "whole"
+                found = "part"
+    return "" if name == "main" else found
+
+
+def _parsed(page: str, block_lines: int, back: frozenset[int]) -> tuple[list[tuple[str, int, int, bool]], list[list[int]]]:
+    """Lines (text, length without links, number of the article or 0, is in an h1) and what doubtful elements were dropped.
+
+    A dropped element is its place among the opening tags, its text length without links and that of its articles.
+    Those whose place is in ``back`` are not dropped.
+    """
+    out: list[tuple[str, int, int, bool]] = []
+    dropped: list[list[int]] = []
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, drops its content, is doubtful
     held: list[str] = []
-    dropping = article = links = linked = 0
-    gap = [("", 0, False)] * block_lines
+    dropping = doubtful = article = links = linked = opened = number = cards = 0
+    gap = [("", 0, 0, False)] * block_lines
 
     def flush() -> None:
         nonlocal linked
         if held:
             if text := _SPACE.sub(" ", html_lib.unescape("".join(held))).strip():
-                out.append((text, max(0, len(text) - linked), article > 0))
+                out.append((text, max(0, len(text) - linked), number if article else 0, any(n == "h1" for n, _, _ in stack)))
             held.clear()
         linked = 0
 
     def close(i: int) -> None:
-        nonlocal dropping, article, links
-        for n, d in stack[i:]:
+        nonlocal dropping, doubtful, article, links, cards
+        for n, d, doubt in stack[i:]:
             dropping -= d
+            doubtful -= doubt
             links -= n == "a"
             if n in _ARTICLE:
-                article -= 1
-                if not article:
-                    out.extend(gap)
-            elif n in _BORDERS and not dropping and not article:
+                if doubtful or doubt:
+                    cards -= 1
+                else:
+                    article -= 1
+                    if not article:
+                        out.extend(gap)
+            elif n in _BORDERS and not dropping and not doubtful and not article:
                 out.extend(gap)
         del stack[i:]
 
     for kind, name, value in _tokens(page):
         if kind == "text":
-            if not dropping:
+            if doubtful and not dropping and not links:
+                size = len(value.strip())
+                dropped[-1][1] += size
+                dropped[-1][2] += size if cards else 0
+            elif not dropping and not doubtful:
                 held.append(value)
                 linked += len(value.strip()) if links else 0
             continue
@@ -113,31 +148,61 @@ def lines_of(page: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, int]]
         if kind == "open":
             if name in _VOID or value.rstrip().endswith("/"):
                 continue
-            drops = name in _DROPPED or (name == "header" and not article)
-            if not drops and name not in ("body", "html"):
-                drops = any(_BOILERPLATE.search(v.strip("\"'")) for v in _NAMED.findall(value))
+            opened += 1
+            drops = name in _DROPPED or (name == "header" and not article and not cards)
+            named = _named(name, value) if not drops and name not in ("body", "html") else ""
+            drops, doubt = drops or named == "whole", named == "part" and opened not in back
             if name in _ENDED_BY_NEXT:
                 for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                     if stack[i][0] == name:
-                        if not any(n in _BLOCKS and n != name for n, _ in stack[i + 1 :]):
+                        if not any(n in _BLOCKS and n != name for n, _, _ in stack[i + 1 :]):
                             close(i)
                         break
-            stack.append((name, drops))
+            stack.append((name, drops, doubt))
+            if doubt and not doubtful and not dropping:
+                dropped.append([opened, 0, 0])
             dropping += drops
+            doubtful += doubt
             links += name == "a"
             if name in _ARTICLE:
-                if not article:
-                    out.extend(gap)
-                article += 1
+                if doubtful:
+                    cards += 1
+                else:
+                    if not article:
+                        out.extend(gap)
+                        number += 1
+                    article += 1
             continue
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 close(i)
                 break
     flush()
-    if any(inside and text for text, _, inside in out):
-        return [(text, len(text)) if inside else ("", 0) for text, _, inside in out]
-    return [(text, n) for text, n, _ in out]
+    return out, dropped
+
+
+def lines_of(page: str, block_lines: int = BLOCK_LINES, surge: int = SURGE) -> list[tuple[str, int]]:
+    """The page's lines in order, each with its text and the text's length without links; stripped parts are empty."""
+    back: frozenset[int] = frozenset()
+    while True:
+        out, dropped = _parsed(page, block_lines, back)
+        rest = sum(n for _, n, _, _ in out)
+        again = {at for at, size, cards in dropped if size and (size >= HOLDS * rest or cards > rest)}
+        if not again:
+            break
+        back |= again
+    sizes: dict[int, int] = {}
+    for _, n, no, _ in out:
+        if no:
+            sizes[no] = sizes.get(no, 0) + n
+    if not any(no for _, _, no, _ in out):
+        return [(text, n) for text, n, _, _ in out]
+    outside = [0 if no else n for _, n, no, _ in out]
+    least = block_lines if any(no and h1 for _, _, no, h1 in out) else 1
+    rivals = [sum(outside[a:z]) for a, z in surges(outside, block_lines, surge) if sum(n > 0 for n in outside[a:z]) >= least]
+    if max(rivals, default=0) > max(sizes.values()):
+        return [("", 0) if no else (text, n) for text, n, no, _ in out]
+    return [(text, len(text)) if no else ("", 0) for text, _, no, _ in out]
 
 
 def surges(lengths: list[int], block_lines: int = BLOCK_LINES, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -158,7 +223,7 @@ def surges(lengths: list[int], block_lines: int = BLOCK_LINES, surge: int = SURG
 def main_text(page: str | None, block_lines: int = BLOCK_LINES, surge: int = SURGE) -> str:
     if not page:
         return ""
-    lines = lines_of(page, block_lines)
+    lines = lines_of(page, block_lines, surge)
     found = surges([n for _, n in lines], block_lines, surge)
     return " ".join(text for a, z in found for text, _ in lines[a:z] if text)
 

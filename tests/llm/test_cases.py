@@ -329,3 +329,23 @@ def test_links_against_all_pairs(spark):
             if k >= 3 and {0: 1 in near, 1: 0 in near, 2: {0, 1} <= near}[classes[k]]:
                 expected.append((s, k, e))
         assert [tuple(x) for x in r.linked] == sorted(set(expected))
+
+
+def test_main_text_beside_and_inside_named_parts():
+    body = "".join(f"<p>Paragraph {i} of the body tells a good deal about the matter at hand, with words enough.</p>" for i in range(6))
+    text = " ".join(f"Paragraph {i} of the body tells a good deal about the matter at hand, with words enough." for i in range(6))
+    card = '<article><h3><a href="/x">Other story</a></h3><p>A short teaser of another story that is on this site, read on.</p></article>'
+    assert main_text(f"<body><div>{body}</div></body>") == text
+    assert main_text(f"<body><div>{body}</div>{card * 3}</body>") == text
+    assert main_text(f'<body><div class="content">{body}</div><div class="related-posts">{card * 3}</div></body>') == text
+    assert main_text(f"<body><div>{card * 12}</div><h1>T</h1><div>{body}</div></body>") == "T " + text
+    for names in ('class="page with-sidebar"', "id='content-social'", 'class="no-comments search-page"'):
+        page = f'<body><div {names}><div>{body}</div><div class="sidebar"><p>Popular posts of this week, all about the same thing again and again.</p></div></div></body>'
+        assert main_text(page) == text
+        assert main_text(page.replace(f"<div>{body}</div>", f"<article>{body}</article>")) == text
+    assert main_text(f'<article class="post has-social">{body}</article>') == text
+    assert main_text(f'<main class="search">{body}</main>') == text
+    assert main_text(f'<div>{body}</div><div class="comments-list"><p>{"I liked it. " * 30}</p></div>') == text
+    replies = "".join(f'<article class="comment-body"><p>{"I liked it. " * 60}</p></article>' for _ in range(6))
+    assert main_text(f'<div>{body}</div><div class="comments-list">{replies}</div>') == text
+    assert main_text(f'<p>Short.</p><div class="cookie-notice">{"We use cookies. " * 60}</div>') == "Short."
