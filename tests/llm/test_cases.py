@@ -349,3 +349,30 @@ def test_main_text_beside_and_inside_named_parts():
     replies = "".join(f'<article class="comment-body"><p>{"I liked it. " * 60}</p></article>' for _ in range(6))
     assert main_text(f'<div>{body}</div><div class="comments-list">{replies}</div>') == text
     assert main_text(f'<p>Short.</p><div class="cookie-notice">{"We use cookies. " * 60}</div>') == "Short."
+
+
+def test_licence_blocks(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    code = "\n\n" + "int some_code(int a, int b) { return a + b; }\n" * 30
+    marked = {m: "\n".join(f"{m} {x}".rstrip() for x in ["This file is part of Foo.", "", *gpl.format(3).split("\n")]) for m in ("//", "#")}
+    mit = "MIT License\n\nCopyright (c) 2020 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    bsd = "Copyright (c) 2021, Jo Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    from quarrymill.llm.licences import _AS_IS
+
+    files = {
+        "a/x.c": "/*\n * " + gpl.format(3).replace("\n", "\n * ") + "\n */" + code,
+        "b/x.c": "/*\n   " + gpl.format(2).replace("\n", "\r\n   ") + "\n*/" + code,
+        "c/x.c": marked["//"] + code,
+        "d/x.py": "#!/usr/bin/python\n" + marked["#"] + code,
+        "e/COPYING": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n\n" + "The precise terms follow in many words.\n" * 200 + "\n13. Use with the GNU Affero General Public License.\n",
+        "e/sub/y.c": "no word of it",
+        "f/LICENSE": "Mozilla Public License Version 2.0\n==================================\n\n" + "1. Definitions of many things\n" * 100,
+        "g/LICENSE.txt": mit,
+        "h/LICENSE": bsd + _AS_IS,
+        "i/x.c": "/* Copyright (c) 2020 Jo\n * nothing more here to see */" + code,
+    }
+    got = {r.path: (r.licence, r.origin) for r in licence_scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert got == {
+        "a/x.c": ("GPL-3.0", "header"), "b/x.c": ("GPL-2.0", "header"), "c/x.c": ("GPL-3.0", "header"), "d/x.py": ("GPL-3.0", "header"), "e/COPYING": ("GPL-3.0", "file"), "e/sub/y.c": ("GPL-3.0", "inherited"),
+        "f/LICENSE": ("MPL-2.0", "file"), "g/LICENSE.txt": ("MIT", "file"), "h/LICENSE": ("BSD-2-Clause", "file"), "i/x.c": ("", "none"),
+    }
