@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.shared import fresh_path
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 20) -> DataFrame:
     """A folder or file of Parquet as a stream; the schema comes from a batch read."""
@@ -61,14 +62,18 @@ def state_changes(events: DataFrame, key: str, state: str, order: str) -> DataFr
 
 
 def drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """Run a stream over what is there and return its rows as a table in memory (tests, small results), or feed ``sink``."""
+    """Run a stream over what is there and return its rows, written as Parquet in the shared folder, or feed ``sink``.
+
+    The checkpoint, and with it the state, lies in the shared folder too. In complete mode each trigger overwrites the rows.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    path = fresh_path(spark, "feed")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
     if sink is not None:
-        q = writer.foreachBatch(lambda df, _: sink(df)).start()
-        q.awaitTermination()
+        writer.foreachBatch(lambda df, _: sink(df)).start().awaitTermination()
         return spark.range(0).select()
-    name = f"feed_{uuid.uuid4().hex}"
-    q = writer.format("memory").queryName(name).start()
-    q.awaitTermination()
-    return spark.table(name)
+    if mode == "append":
+        writer.format("parquet").start(path).awaitTermination()
+    else:
+        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

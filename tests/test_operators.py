@@ -95,3 +95,10 @@ def test_no_python_in_column_queries(spark, sf_dir):
         assert "Python" not in plan and "Arrow" not in plan
     plan = QUERIES["recent_jobs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint" in plan
+
+
+def test_drained_rows_lie_in_the_shared_folder(spark, sf_dir):
+    events = feeds.read_stream(spark, f"{sf_dir}/events.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    for got in (feeds.drain(events.select("event_id"), "append"), feeds.drain(events.groupBy("event_type").count(), "complete")):
+        assert got.inputFiles() and all(f.replace("///", "/").startswith(shared.replace("///", "/")) for f in got.inputFiles())
