@@ -28,6 +28,8 @@ from .common import SPACE_WORD, written
 MIN_COSINE = 0.6
 CUE = r"(?i)licen[cs]|copyright|spdx|copyleft|all rights reserved|permission is hereby granted|redistribution and use|public domain"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: The same matches without backtracking into the group, which would recurse on long runs.
+_TERM = r"[a-z0-9]++(?:\.[0-9]++)*+"
 LICENCE_NAME = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[._-].*)?$"
 # Customary licence sentences.
 TEMPLATES = (
@@ -97,7 +99,7 @@ _BLANK = r"\n[ \t]*\n"
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
 def template_terms(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -126,10 +128,15 @@ def licence_blocks(files: DataFrame, path: Column, text: Column) -> DataFrame:
     found = files.filter(text.rlike(CUE)).select(path.alias("path"), F.regexp_count(text, F.lit(SPACE_WORD)).alias("n_words"), is_named.alias("named"), block.alias("block"))
     found = found.filter(F.col("block").rlike(CUE) & (F.col("named") | F.trim("block").contains("\n")))
     parts = F.filter(F.split("block", _BLANK), lambda x: x.rlike(CUE))
-    units = F.array_union(F.array(F.struct(F.col("block").alias("line"), F.lit(True).alias("whole"))), F.transform(parts, lambda x: F.struct(x.alias("line"), F.lit(False).alias("whole"))))
-    units = found.select("path", "n_words", F.inline(units)).withColumn("terms", _terms(F.col("line"))).withColumn("held", F.regexp_count("line", F.lit(SPACE_WORD)))
-    one = [F.max(c).alias(c) for c in ("n_words", "whole", "held", "terms")]
-    return units.withColumn("line", F.sha2("line", 256)).groupBy("path", "line").agg(*one)
+    # Equal paragraphs fall together below.
+    units = F.concat(F.array(F.struct(F.col("block").alias("line"), F.lit(True).alias("whole"))), F.transform(parts, lambda x: F.struct(x.alias("line"), F.lit(False).alias("whole"))))
+    return _digested(found.select("path", "n_words", F.inline(units)), "whole")
+
+
+def _digested(units: DataFrame, *also: str) -> DataFrame:
+    """``units`` (path, n_words, line, ...) once each, with terms and word count; a digest stands for the line, which may be long."""
+    measured = units.select("path", "n_words", *also, _terms(F.col("line")).alias("terms"), F.regexp_count("line", F.lit(SPACE_WORD)).alias("held"), F.sha2("line", 256).alias("line"))
+    return measured.groupBy("path", "line").agg(*[F.max(c).alias(c) for c in ("n_words", "held", "terms", *also)])
 
 
 def nearest_templates(lines: DataFrame, templates: DataFrame, min_cosine: float) -> DataFrame:
@@ -156,9 +163,9 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     path = F.coalesce(files[path_col], F.lit(""))
     text = files[text_col]
     lines = files.filter(text.rlike(CUE)).select(path.alias("path"), F.regexp_count(text, F.lit(SPACE_WORD)).alias("n_words"), F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))).alias("line"))
-    lines = written(lines.groupBy("path", "line").agg(F.max("n_words").alias("n_words")), "licence_lines")
+    lines = written(_digested(lines), "licence_lines")
 
-    best = nearest_templates(lines.withColumn("terms", _terms(F.col("line"))), template_terms(spark), min_cosine)
+    best = nearest_templates(lines, template_terms(spark), min_cosine).join(lines.select("path", "line", "held"), ["path", "line"])
     blocks = written(licence_blocks(files, path, text), "licence_blocks")
     sizes = blocks.select("path", "line", "whole", "held")
     block = nearest_templates(blocks, template_terms(spark, TEXTS), min_cosine).join(sizes, ["path", "line"])
@@ -170,7 +177,7 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
         F.max("n_words").alias("n_block"),
     )
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    own = best.groupBy("path").agg(F.min("b").alias("b"), F.sum(F.regexp_count("line", F.lit(SPACE_WORD))).alias("held"), F.max("n_words").alias("n_words"))
+    own = best.groupBy("path").agg(F.min("b").alias("b"), F.sum("held").alias("held"), F.max("n_words").alias("n_words"))
     own = own.join(block, "path", "full")
     of_line = F.when(F.col("b").isNotNull(), F.struct(F.lit(True).alias("r"), F.col("b.c").alias("c"), F.col("b.licence").alias("licence")))
     own = own.select("path", F.least(of_line, "u").alias("b"), F.greatest("held", "held_block").alias("held"), F.greatest("n_words", "n_block").alias("n_words"))
