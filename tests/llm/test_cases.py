@@ -406,7 +406,7 @@ def test_licence_blocks(spark):
     marked = {m: "\n".join(f"{m} {x}".rstrip() for x in ["This file is part of Foo.", "", *gpl.format(3).split("\n")]) for m in ("//", "#")}
     mit = "MIT License\n\nCopyright (c) 2020 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
     bsd = "Copyright (c) 2021, Jo Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
-    from quarrymill.llm.licences import _AS_IS
+    from quarrymill.llm.licences import _AS_IS, TEXTS
 
     files = {
         "a/x.c": "/*\n * " + gpl.format(3).replace("\n", "\n * ") + "\n */" + code,
@@ -420,8 +420,23 @@ def test_licence_blocks(spark):
         "h/LICENSE": bsd + _AS_IS,
         "i/x.c": "/* Copyright (c) 2020 Jo\n * nothing more here to see */" + code,
     }
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    bsd_3 = bsd.rstrip() + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    files |= {
+        "j/x.c": "/*\n * " + lgpl.format("2.1").replace("\n", "\n * ") + "\n */" + code,
+        "k/x.c": "/*\n * " + lgpl.format("3").replace("\n", "\n * ") + "\n */" + code,
+        "l/x.py": "# Copyright 2019 Jo Doe\n#\n# " + apache.replace("\n", "\n# ") + code,
+        "m/LICENSE": bsd_3 + _AS_IS,
+        "n/COPYING": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n\n" + "The precise terms follow in many words.\n" * 200,
+        "o/LICENSE": "".join(t for n, t in TEXTS if n == "ISC").replace(". ", ".\n"),
+        "p/LICENSE": bsd.replace("with or without modification", "with or without\nmodification") + _AS_IS.replace(", ", ",\n"),
+        "q/x.c": "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files */" + code,
+    }
     got = {r.path: (r.licence, r.origin) for r in licence_scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
     assert got == {
         "a/x.c": ("GPL-3.0", "header"), "b/x.c": ("GPL-2.0", "header"), "c/x.c": ("GPL-3.0", "header"), "d/x.py": ("GPL-3.0", "header"), "e/COPYING": ("GPL-3.0", "file"), "e/sub/y.c": ("GPL-3.0", "inherited"),
         "f/LICENSE": ("MPL-2.0", "file"), "g/LICENSE.txt": ("MIT", "file"), "h/LICENSE": ("BSD-2-Clause", "file"), "i/x.c": ("", "none"),
+        "j/x.c": ("LGPL-2.1", "header"), "k/x.c": ("LGPL-3.0", "header"), "l/x.py": ("Apache-2.0", "header"), "m/LICENSE": ("BSD-3-Clause", "file"), "n/COPYING": ("LGPL-2.1", "file"), "o/LICENSE": ("ISC", "file"),
+        "p/LICENSE": ("BSD-2-Clause", "file"), "q/x.c": ("MIT", "header"),
     }
