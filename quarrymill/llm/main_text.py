@@ -2,28 +2,34 @@
 
 Markup is stripped so that each block element becomes a line. Elements that are never article text go with their
 content: scripts, styles, heads, forms, navigation, headers outside an article, footers, asides, and elements whose
-class, id or role names a menu, advert, notice or comment section. Navigation, headers, footers, asides and forms leave
-empty lines, and so do the borders of an article or main element.
-
-A name that is only a part of a class or id (``content-social``, ``with-sidebar``), or that stands on an article, is
-doubtful, unless all parts name boilerplate or it names comments: the element comes back where it holds four times the text
-of the rest of the page, or an article longer than that rest; a main element never goes by its name. Article text and the page's other text compete: the text of the articles is
-taken unless one surge outside them has more text than the longest of them (and, where an article has the h1, at least
-three lines); then the articles are teasers and empty.
+class, id or role names a menu, advert, notice or comment section. Navigation, headers and footers leave empty lines,
+and so do the borders of an article or main element.
 
 Over the lines, text lengths (without link text) of three lines in turn are summed. Text surges where these blocks rise
 from nothing and dives where they fall back to nothing; the text between is kept if one of its blocks passes the
 threshold, or comes near the page's highest where no block of a short page does.
 
-Defined results: a null, empty or markup-only page gives an empty text; markup that is never closed ends with its
-enclosing element or the page; repeated rows give a row each; only id, url and html columns are read.
+Elements settle only what lengths can't. If the surge with most text lies in an article, the surges in articles are the
+text; if it lies outside, articles are teasers and go. Where an article has the h1, a surge outside needs three lines
+to be the one with most text.
+
+A name that is only a part of a class or id (``content-social``, ``with-sidebar``), that stands beside other names
+(``news alert``) or on an article, is doubtful, unless it names comments: the element comes back where it holds four times the text
+of the rest of the page, or an article longer than that rest; a main element never goes by its name.
+
+Defined results: a null, empty or markup-only page gives an empty text; very long pages are read whole, in time that
+grows with their length; markup that is never closed ends with its enclosing element or the page, a quote that is never
+closed is an ordinary character; of repeated attributes all count; repeated rows give a row each; an empty table gives an
+empty result; only id, url and html columns are read, others may have any name.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +37,13 @@ from pyspark.sql import DataFrame
 #: Lines summed in a block, and the characters that one block of a text must pass.
 BLOCK_LINES, SURGE = 3, 60
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"\s+")
 _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Element names by their role in a page.
 _RAW = frozenset("script style textarea title noscript template iframe svg math select option button canvas object".split())
 _DROPPED = _RAW | frozenset("head nav footer aside form menu dialog label audio video".split())
-_BORDERS = frozenset("nav header footer aside form".split())
+_BORDERS = frozenset("nav header footer".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
@@ -59,6 +65,7 @@ _ENDED_BY_NEXT = frozenset("p li dt dd tr td th".split())
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name, value)``: text, open or close; the content of raw elements is skipped."""
     at, size = 0, len(page)
+    unclosed: set[str] = set()  # raw elements without an end from here on
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -74,135 +81,159 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, m.group(3)
-        if name in _RAW and not m.group(3).rstrip().endswith("/"):
+        if name in _RAW and name not in unclosed and not m.group(3).rstrip().endswith("/"):
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if stop is None and name in ("script", "style"):
-                return
-            if stop is not None and name in ("script", "style", "textarea", "title"):
+            if stop is None:
+                if name in ("script", "style"):
+                    return
+                unclosed.add(name)
+            elif name in ("script", "style", "textarea", "title"):
                 at = stop.start()
 
 
 def _named(name: str, value: str) -> str:
-    """Whether an element's names mark it as boilerplate: "" no, "part" by a part of a name only, "whole"."""
+    """Whether an element's names mark it as boilerplate: "" no, "part" by some of a name only, "whole"."""
     found = ""
     for v in _NAMED.findall(value):
-        for x in v.strip("\"'").split():
-            if _BOILERPLATE.search(x):
-                whole = all(_BOILERPLATE.search(part) for part in re.split("[_-]", x)) or (_REPLIES.search(x) and not _STATE.search(x)) or x.lower() == "side-bar"
-                if whole:
-                    return "part" if name == "article" else "" if name == "main" else "whole"
-                found = "part"
+        names = v.strip("\"'").split()
+        marks = [x for x in names if _BOILERPLATE.search(x)]
+        for x in marks:
+            replies = _REPLIES.search(x) and not _STATE.search(x)
+            if replies or (len(marks) == len(names) and (all(_BOILERPLATE.search(part) for part in re.split("[_-]", x)) or x.lower() == "side-bar")):
+                return "part" if name == "article" else "" if name == "main" else "whole"
+            found = "part"
     return "" if name == "main" else found
 
 
-def _parsed(page: str, block_lines: int, back: frozenset[int]) -> tuple[list[tuple[str, int, int, bool]], list[list[int]]]:
-    """Lines (text, length without links, number of the article or 0, is in an h1) and what doubtful elements were dropped.
+@dataclass
+class _Page:
+    """A page's events in order, and its doubtful elements by number (0 is the page): parent, own text, own text in articles.
 
-    A dropped element is its place among the opening tags, its text length without links and that of its articles.
-    Those whose place is in ``back`` are not dropped.
+    An event is ``("line",)``, ``("text", value, owner, in a link, in an h1)``, ``("border", owner)`` or
+    ``("article", 1 or -1, owner)``; an owner is the innermost doubtful element. Sizes don't count text in links.
     """
-    out: list[tuple[str, int, int, bool]] = []
-    dropped: list[list[int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, drops its content, is doubtful
-    held: list[str] = []
-    dropping = doubtful = article = links = linked = opened = number = cards = 0
-    gap = [("", 0, 0, False)] * block_lines
 
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            if text := _SPACE.sub(" ", html_lib.unescape("".join(held))).strip():
-                out.append((text, max(0, len(text) - linked), number if article else 0, any(n == "h1" for n, _, _ in stack)))
-            held.clear()
-        linked = 0
+    events: list[tuple]
+    parent: list[int]
+    size: list[int]
+    cards: list[int]
+
+
+def _read(page: str) -> _Page:
+    events: list[tuple] = []
+    parent, size, cards = [0], [0], [0]
+    stack: list[tuple[str, bool, int, int | None]] = []  # open elements: name, drops its content, owner before, owner of an article
+    count: Counter[str] = Counter()
+    articles: list[int] = []  # the owners of the open articles
+    dropping = owner = 0
 
     def close(i: int) -> None:
-        nonlocal dropping, doubtful, article, links, cards
-        for n, d, doubt in stack[i:]:
-            dropping -= d
-            doubtful -= doubt
-            links -= n == "a"
-            if n in _ARTICLE:
-                if doubtful or doubt:
-                    cards -= 1
-                else:
-                    article -= 1
-                    if not article:
-                        out.extend(gap)
-            elif n in _BORDERS and not dropping and not doubtful and not article:
-                out.extend(gap)
-        del stack[i:]
+        nonlocal dropping, owner
+        while len(stack) > i:
+            n, drops, before, article = stack.pop()
+            count[n] -= 1
+            dropping -= drops
+            if article is not None:
+                articles.pop()
+                events.append(("article", -1, article))
+            owner = before
+            if n in _BORDERS and not dropping:
+                events.append(("border", owner))
 
     for kind, name, value in _tokens(page):
         if kind == "text":
-            if doubtful and not dropping and not links:
-                size = len(value.strip())
-                dropped[-1][1] += size
-                dropped[-1][2] += size if cards else 0
-            elif not dropping and not doubtful:
-                held.append(value)
-                linked += len(value.strip()) if links else 0
+            if not dropping:
+                events.append(("text", value, owner, count["a"] > 0, count["h1"] > 0))
+                if not count["a"]:
+                    length = len(value.strip())
+                    size[owner] += length
+                    if articles:
+                        cards[articles[-1]] += length
             continue
         if name in _BLOCKS:
-            flush()
-        if kind == "open":
-            if name in _VOID or value.rstrip().endswith("/"):
-                continue
-            opened += 1
-            drops = name in _DROPPED or (name == "header" and not article and not cards)
-            named = _named(name, value) if not drops and name not in ("body", "html") else ""
-            drops, doubt = drops or named == "whole", named == "part" and opened not in back
-            if name in _ENDED_BY_NEXT:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                    if stack[i][0] == name:
-                        if not any(n in _BLOCKS and n != name for n, _, _ in stack[i + 1 :]):
-                            close(i)
-                        break
-            stack.append((name, drops, doubt))
-            if doubt and not doubtful and not dropping:
-                dropped.append([opened, 0, 0])
-            dropping += drops
-            doubtful += doubt
-            links += name == "a"
-            if name in _ARTICLE:
-                if doubtful:
-                    cards += 1
-                else:
-                    if not article:
-                        out.extend(gap)
-                        number += 1
-                    article += 1
+            events.append(("line",))
+        if kind == "close":
+            if count[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                close(i)
-                break
-    flush()
-    return out, dropped
-
-
-def lines_of(page: str, block_lines: int = BLOCK_LINES, surge: int = SURGE) -> list[tuple[str, int]]:
-    """The page's lines in order, each with its text and the text's length without links; stripped parts are empty."""
-    back: frozenset[int] = frozenset()
-    while True:
-        out, dropped = _parsed(page, block_lines, back)
-        rest = sum(n for _, n, _, _ in out)
-        again = {at for at, size, cards in dropped if size and (size >= HOLDS * rest or cards > rest)}
-        if not again:
-            break
-        back |= again
-    sizes: dict[int, int] = {}
-    for _, n, no, _ in out:
-        if no:
-            sizes[no] = sizes.get(no, 0) + n
-    if not any(no for _, _, no, _ in out):
-        return [(text, n) for text, n, _, _ in out]
-    outside = [0 if no else n for _, n, no, _ in out]
-    least = block_lines if any(no and h1 for _, _, no, h1 in out) else 1
-    rivals = [sum(outside[a:z]) for a, z in surges(outside, block_lines, surge) if sum(n > 0 for n in outside[a:z]) >= least]
-    if max(rivals, default=0) > max(sizes.values()):
-        return [("", 0) if no else (text, n) for text, n, no, _ in out]
-    return [(text, len(text)) if no else ("", 0) for text, _, no, _ in out]
+        if name in _VOID or value.rstrip().endswith("/"):
+            continue
+        if name in _ENDED_BY_NEXT:
+            for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
+                if stack[i][0] == name:
+                    if not any(n in _BLOCKS and n != name for n, *_ in stack[i + 1 :]):
+                        close(i)
+                    break
+        drops = name in _DROPPED or (name == "header" and not articles)
+        named = _named(name, value) if not drops and name not in ("body", "html") else ""
+        drops, before = drops or named == "whole", owner
+        if named == "part" and not dropping:
+            parent.append(owner)
+            size.append(0)
+            cards.append(0)
+            owner = len(parent) - 1
+        dropping += drops
+        article = owner if name in _ARTICLE and not dropping else None
+        if article is not None:
+            articles.append(owner)
+            events.append(("article", 1, owner))
+        stack.append((name, drops, before, article))
+        count[name] += 1
+    close(0)
+    events.append(("line",))
+    return _Page(events, parent, size, cards)
+
+
+def _come_back(page: _Page) -> list[bool]:
+    """Which doubtful elements are text after all, from the outermost inwards."""
+    total, cards = page.size.copy(), page.cards.copy()
+    inside: list[list[int]] = [[] for _ in total]
+    for k in range(len(total) - 1, 0, -1):
+        inside[page.parent[k]].append(k)
+        if page.parent[k]:
+            total[page.parent[k]] += total[k]
+            cards[page.parent[k]] += cards[k]
+    alive = [True] + [False] * (len(total) - 1)
+    rest, edge = page.size[0], inside[0]
+    while back := [k for k in edge if total[k] and (total[k] >= HOLDS * rest or cards[k] > rest)]:
+        for k in back:
+            alive[k] = True
+            rest += page.size[k]
+        edge = [k for k in edge if not alive[k]] + [c for k in back for c in inside[k]]
+    return alive
+
+
+def lines_of(page: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, int, int, bool]]:
+    """The page's lines in order: text, its length without links, number of the article or 0, is in an h1."""
+    read = _read(page)
+    alive = _come_back(read)
+    out: list[tuple[str, int, int, bool]] = []
+    held: list[str] = []
+    linked = article = number = 0
+    heading = False
+    gap = [("", 0, 0, False)] * block_lines
+    for kind, *event in read.events:
+        if kind == "text":
+            value, owner, in_link, in_h1 = event
+            if alive[owner]:
+                held.append(value)
+                linked += len(value.strip()) if in_link else 0
+                heading |= in_h1
+        elif kind == "line":
+            if held and (text := _SPACE.sub(" ", html_lib.unescape("".join(held))).strip()):
+                out.append((text, max(0, len(text) - linked), number if article else 0, heading))
+            held, linked, heading = [], 0, False
+        elif kind == "border":
+            if alive[event[0]] and not article:
+                out.extend(gap)
+        elif alive[event[1]]:
+            if event[0] > 0 and not article:
+                number += 1
+                out.extend(gap)
+            article += event[0]
+            if not article:
+                out.extend(gap)
+    return out
 
 
 def surges(lengths: list[int], block_lines: int = BLOCK_LINES, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -223,9 +254,19 @@ def surges(lengths: list[int], block_lines: int = BLOCK_LINES, surge: int = SURG
 def main_text(page: str | None, block_lines: int = BLOCK_LINES, surge: int = SURGE) -> str:
     if not page:
         return ""
-    lines = lines_of(page, block_lines, surge)
-    found = surges([n for _, n in lines], block_lines, surge)
-    return " ".join(text for a, z in found for text, _ in lines[a:z] if text)
+    lines = lines_of(page, block_lines)
+    # In an article links are text too.
+    inside = surges([len(text) if no else 0 for text, _, no, _ in lines], block_lines, surge)
+    outside = surges([0 if no else n for _, n, no, _ in lines], block_lines, surge)
+    least = block_lines if any(no and h1 for _, _, no, h1 in lines) else 1
+
+    def most(found: list[tuple[int, int]], least: int) -> int:
+        """The text of the largest surge with so many lines."""
+        held = ([n for _, n, _, _ in lines[a:z] if n] for a, z in found)
+        return max((sum(h) for h in held if len(h) >= least), default=0)
+
+    found = inside if inside and most(inside, 0) >= most(outside, least) else outside
+    return " ".join(text for a, z in found for text, _, _, _ in lines[a:z] if text)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_lines: int = BLOCK_LINES, surge: int = SURGE) -> DataFrame:

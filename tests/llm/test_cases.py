@@ -440,3 +440,46 @@ def test_licence_blocks(spark):
         "j/x.c": ("LGPL-2.1", "header"), "k/x.c": ("LGPL-3.0", "header"), "l/x.py": ("Apache-2.0", "header"), "m/LICENSE": ("BSD-3-Clause", "file"), "n/COPYING": ("LGPL-2.1", "file"), "o/LICENSE": ("ISC", "file"),
         "p/LICENSE": ("BSD-2-Clause", "file"), "q/x.c": ("MIT", "header"),
     }
+
+
+def test_line_blocks_against_their_definition():
+    """Pages of unnamed lines without an article: what is kept follows from the lengths of the lines alone."""
+    rng = np.random.default_rng(13)
+    dropped = 0
+    for _ in range(300):
+        lines = [("w" * int(n) if n else "") for n in rng.choice([0, 0, 4, 12, 30, 70, 200], rng.integers(1, 25))]
+        page = "<body>" + "".join(f"<p>{x}</p>" if x else "<footer></footer>" for x in lines) + "</body>"
+        # An element of the border kind stands for three empty lines.
+        spread = [y for x in lines for y in ([x] if x else [""] * 3)]
+        blocks = [sum(map(len, spread[i : i + 3])) for i in range(len(spread))]
+        least = min(60, max(blocks) // 2)
+        kept = []
+        for i, x in enumerate(spread):
+            if not x:
+                continue
+            a = next((k + 1 for k in range(i - 1, -1, -1) if not blocks[k]), 0)
+            z = next((k for k in range(i, len(spread)) if not blocks[k]), len(spread))
+            if max(blocks[a:z]) > least:
+                kept.append(x)
+        assert main_text(page) == " ".join(kept)
+        dropped += len(kept) < sum(map(bool, lines))
+    assert dropped > 50  # without surge and dive all of these lines would be there
+
+
+def test_unnamed_parts_go_by_their_density():
+    body = "".join(f"<p>Paragraph {i} of the body tells a good deal about the matter at hand, with words enough.</p>" for i in range(6))
+    text = " ".join(f"Paragraph {i} of the body tells a good deal about the matter at hand, with words enough." for i in range(6))
+    assert main_text(f"<div>Tagline</div><nav><p>x</nav><div>{body}</div><footer></footer><div>All rights</div>") == text
+    assert main_text(f"<div>{body}<aside>Beside it.</aside><p>A short closing paragraph.</p></div>") == text + " A short closing paragraph."
+    assert main_text(f'<div class="news alert">{body}</div>') == text
+    assert main_text(f'<div>{body}</div><div class="ad wide">Buy this today and pay in a year.</div>') == text
+
+
+def test_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<b></i>" * 60_000, "<button>" * 60_000, '<div class="a-social">' * 20_000 + "x", '<a "' * 100_001, "<p>" * 100_000, "<div>" * 50_000 + "t", "<" * 300_000, "<table><tr><td>" * 30_000):
+        main_text(page)
+    assert time.perf_counter() - began < 20
+    assert main_text("<p>" + "<b>" * 30_000 + "word</i>" * 30_000) == "word" * 30_000
