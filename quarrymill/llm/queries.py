@@ -123,13 +123,18 @@ WITH sized AS (
 ), t AS (
   SELECT source, source_size, coalesce(CASE WHEN open THEN weight * level ELSE most::DOUBLE END, 0.0) AS target FROM lev
 ), d AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+         md5('mix:' || coalesce(s.doc_id::VARCHAR, '')) AS digest
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), tries AS (
+  SELECT *, size * (floor(rate)::BIGINT + CASE WHEN (('0x' || substr(digest, seed // 16 * 8 + 1, 8))::BIGINT + seed % 16 * 268435456) % 4294967296 < (rate - floor(rate)) * 4294967296.0::DOUBLE THEN 1 ELSE 0 END) AS taken
+  FROM d, (SELECT unnest(range(64)) AS seed)
+), pick AS (
+  SELECT source, arg_min(seed, (off, seed)) AS seed FROM (
+    SELECT source, seed, abs(sum(taken) - any_value(target)) AS off FROM tries GROUP BY source, seed) GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-       size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM d
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM tries JOIN pick ON tries.source IS NOT DISTINCT FROM pick.source AND tries.seed = pick.seed
 """
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
@@ -139,7 +144,8 @@ WITH files AS (
 ), f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files
 ), lines AS (
   SELECT path, line, max(n_words) AS n_words FROM (
-    SELECT path, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words, unnest(string_split(text, chr(10))) AS line FROM f
+    SELECT path, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n_words, unnest(string_split(text, chr(10))) AS line FROM f
   ) WHERE regexp_matches(line, '{CUE}') GROUP BY path, line
 ), total AS (SELECT count(*)::DOUBLE AS n FROM lines
 ), templates(no, licence, text) AS (VALUES {_TEMPLATE_ROWS}
@@ -159,7 +165,8 @@ WITH files AS (
 ), own AS (
   SELECT path, arg_min(licence, (-cosine, licence)) AS own, max(cosine) AS cosine FROM near GROUP BY path
 ), held AS (
-  SELECT path, sum(len(regexp_extract_all(line, '[^ 	-]+'))) AS held, max(n_words) AS n_words FROM best GROUP BY path
+  SELECT path, sum(len(regexp_extract_all(line, '[^ 	-
+]+'))) AS held, max(n_words) AS n_words FROM best GROUP BY path
 ), ownf AS (
   SELECT path, own, cosine, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}') OR 2 * held >= n_words AS is_file FROM own JOIN held USING (path)
 ), by_dir AS (

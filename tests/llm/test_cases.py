@@ -10,7 +10,7 @@ from quarrymill.llm.decontaminate import contamination, drop_contaminated
 from quarrymill.llm.golay import GENERATOR, near_codewords, syndromes
 from quarrymill.llm.licences import licence_scan
 from quarrymill.llm.main_text import extract_main_text, main_text, surges
-from quarrymill.llm.mixing import emit_mix, plan_mix, source_targets
+from quarrymill.llm.mixing import SEEDS, mix, plan_mix, source_targets
 from quarrymill.llm.quality import FEATURES, features, fit, fit_on_labels, keep_good, score
 from quarrymill.llm.rans import Coder, table
 from quarrymill.llm.repetition import brute_force, measure, repetition_rules
@@ -246,12 +246,32 @@ def test_mixing(spark, odd, empty):
     assert got["a"] == 30 and got["b"] == 30 and got["c"] == 960 and got[None] == 0
     plan = plan_mix(odd)
     assert plan.count() == odd.count()
-    mixed = emit_mix(plan, odd.columns)
-    assert mixed.columns == odd.columns
+    mixed = mix(odd)
+    assert mixed.schema == odd.schema
     assert mixed.count() == plan.agg(F.sum("copies")).head()[0]
     assert plan.filter("copies > 3").count() == 0
     assert {(r.doc_id, r.copies) for r in plan.collect()} == {(r.doc_id, r.copies) for r in plan_mix(odd.repartition(3)).collect()}
-    assert plan_mix(empty).count() == 0 and emit_mix(plan_mix(empty), empty.columns).count() == 0
+    assert plan_mix(empty).count() == 0 and mix(empty).count() == 0
+
+
+def test_mixing_takes_the_nearest_seed(spark):
+    """Copies against every seed tried in turn; columns named like the plan's come back as they were."""
+    import hashlib
+
+    rng = np.random.default_rng(17)
+    rows = [(i, "w " * int(rng.choice([1, 7, 90])), ["a", "b", "c", "d", None][int(rng.integers(0, 5))], f"t{i}", 5) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target string, copies int")
+    plan = {r.doc_id: r for r in plan_mix(docs).collect()}
+    for source in ("a", "b", "c", "d", None):
+        own = [r for r in rows if r[2] == source]
+        target, rate = plan[own[0][0]].target, plan[own[0][0]].rate
+        draws = {r[0]: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest() for r in own}
+        tries = [{i: int(rate) + ((int(d[t // 16 * 8 :][:8], 16) + t % 16 * 2**28) % 2**32 / 2**32 < rate - int(rate)) for i, d in draws.items()} for t in range(SEEDS)]
+        best = min(tries, key=lambda c: abs(sum(plan[i].size * n for i, n in c.items()) - target))
+        assert {i: plan[i].copies for i in draws} == best
+    got = mix(docs)
+    assert got.schema == docs.schema
+    assert sorted((r.doc_id, r.target, r.copies) for r in got.collect()) == sorted((i, f"t{i}", 5) for i in plan for _ in range(plan[i].copies))
 
 
 def test_licences(spark):
