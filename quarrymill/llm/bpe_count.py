@@ -8,8 +8,9 @@ two characters that are not white space always starts a pre-token, so pieces bet
 and remembered per Python worker (a memo of bounded size). Texts where a space touches other white space, or that
 hold a special string, take the full pattern.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token; repeated
-rows give one row each; an empty table gives an empty result; only id and text columns are read.
+Defined results: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token; very long
+texts are counted whole; repeated rows give one row each; an empty table gives an empty result; only id and text columns
+are read, others may have any name.
 """
 
 from __future__ import annotations

@@ -22,14 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary
-    folder is made and set, so that ``checkpoint()`` uses the same place.
+    A cluster names it in ``spark.checkpoint.dir``; only in local mode, and where that is unset, a temporary folder is
+    made and set, so that ``checkpoint()`` uses the same place.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

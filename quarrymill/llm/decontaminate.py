@@ -118,6 +118,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have no word in an occurrence of a benchmark window."""
-    found = contamination(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
-    return marked.join(written(found, "contaminated"), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti").select(*docs.columns)
+    found = contamination(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    marked = docs.select(F.struct("*").alias("row"), docs[id_col].alias("own_id"), F.xxhash64(docs[text_col]).alias("own"))
+    return marked.join(written(found, "contaminated"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left_anti").select("row.*")

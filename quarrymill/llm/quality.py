@@ -9,7 +9,7 @@ Fitting needs only each class's count, sum and sum of products of the statistics
 rows (no sample) and one row per class reaches the driver.
 
 Defined results: a null, empty or blank text has all counts zero and gets a score like any other; labels other than 0
-and 1 and labels without a document don't count, repeated rows of either table count as often as they are there; with
+and 1 and labels without a document don't count, repeated rows of either table count as often as they are there; very long texts are measured whole; extra columns may have any name; with
 one class labelled the score is that class's value, with none it is 0.5; an empty table gives an empty result.
 """
 

@@ -8,7 +8,8 @@ left are the maximal repeated substrings. The union of their spans must stay und
 the longest under ``max_longest`` words.
 
 Defined results: a null, empty or blank text has no words, fails the base rule (fewer than ten words) and isn't kept;
-repeated rows give a row each; an empty table gives an empty result; only id and text columns are read.
+very long texts are measured whole, each in a group of its own; repeated rows give a row each; an empty table gives an
+empty result; only id and text columns are read, others may have any name.
 """
 
 from __future__ import annotations

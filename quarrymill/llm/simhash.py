@@ -7,7 +7,8 @@ share a key are compared bit by bit; keys with more than ``PAIR_NODES`` nodes ar
 through neighbours: two fingerprints differ in at most two bits just when they share one that is at most one bit from
 each, and no more than 65 fingerprints lie so close to one.
 
-Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; rows with equal ids
+Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; very long texts are read whole; a bit that exactly half of
+the shingles set is zero; extra columns may have any name; rows with equal ids
 each give a row; a component of null ids alone has a null component_id; an empty table gives an empty result.
 """
 
@@ -132,20 +133,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row whose id is the group's.
+def keep_one_of_each_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each of ``groups`` (of these documents) the row whose id is the group's.
 
     Where several rows have that id, the one with the smallest text hash stays, and one of equal rows. Of a group of
-    null ids alone, one row stays.
+    null ids alone, one row stays. Columns of ``docs`` may have any names.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, n, seed).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    groups = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     # Null ids have no component of their own: their fingerprint tells the groups apart.
     apart = F.when(F.col(id_col).isNull(), F.col("fp"))
-    chosen = written(groups.groupBy(F.col(id_col).alias("_id"), apart.alias("_apart")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")), "chosen")
-    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
-    kept = marked.join(chosen, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    once = kept.filter("_n = 1")
-    if not chosen.filter("_n > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("_id", "_own").orderBy(F.lit(1)))
-        once = once.union(kept.filter("_n > 1").withColumn("_place", place).filter("_place = 1").drop("_place"))
-    return once.select(*docs.columns)
+    chosen = written(groups.groupBy(F.col(id_col).alias("id"), apart.alias("apart")).agg(F.min("text_hash").alias("hash"), F.count("*").alias("n")), "chosen")
+    marked = docs.select(F.struct("*").alias("row"), docs[id_col].alias("own_id"), F.xxhash64(docs[text_col]).alias("own"))
+    kept = marked.join(chosen, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")))
+    once = kept.filter("n = 1").select("row")
+    if not chosen.filter("n > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("own_id", "own").orderBy(F.lit(1)))
+        once = once.union(kept.filter("n > 1").withColumn("place", place).filter("place = 1").select("row"))
+    return once.select("row.*")

@@ -11,8 +11,10 @@ Writing takes three steps over Spark: encode with the tokenizers library (no shu
 the coded documents, of which only the small coded form is shuffled; write. Reading decodes every block apart from the
 others and checks each document's checksum.
 
-Defined results: a null or empty text is the end id alone; null ids come last; rows with equal ids each get an entry
-(ordered by checksum, then by length); an empty table gives an empty file that reads back empty.
+Defined results: a null or empty text is the end id alone; very long texts are coded whole, in blocks; null ids come last;
+rows with equal ids each get an entry (ordered by checksum, then by length); an empty table gives an empty file that reads
+back empty; another vocabulary, which cuts texts in another way, is refused; only id and text columns are read, others may
+have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .rans import Coder, table
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
 #: Words and pre-tokens whose ids a worker remembers before the older half goes.
-MEMO_WORDS = 900_000
+MEMO_WORDS = 600_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
@@ -46,6 +48,15 @@ GROUP_BYTES = 2_500_000
 _LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba-\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
 # The vocabulary's pre-tokens, for lower-cased words of such characters.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# How the vocabulary normalises and cuts texts, which the encoder relies on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordEncoder:
@@ -63,6 +74,8 @@ class WordEncoder:
         self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER):
+            raise ValueError("the vocabulary normalises or cuts texts in another way than this encoder")
         self.special = [t["content"] for t in spec["added_tokens"]]
         ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max(ids.values()) + 1

@@ -11,6 +11,7 @@ from quarrymill.llm.golay import GENERATOR, near_codewords, syndromes
 from quarrymill.llm.licences import licence_scan
 from quarrymill.llm.main_text import extract_main_text, main_text, surges
 from quarrymill.llm.mixing import SEEDS, mix, plan_mix, source_targets
+from quarrymill.llm.near_copies import near_copy_groups
 from quarrymill.llm.quality import FEATURES, features, fit, fit_on_labels, keep_good, score
 from quarrymill.llm.rans import Coder, table
 from quarrymill.llm.repetition import brute_force, measure, repetition_rules
@@ -83,6 +84,19 @@ def test_word_encoder_forgets_but_stays_right():
             assert np.frombuffer(ids, encoder.dtype).tolist() == encoder.tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_another_vocabulary_is_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="another way"):
+        WordEncoder(str(tmp_path / "v.json"))
+
+
 def test_decontamination(spark, odd, empty):
     ten = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([("b", ten + " ELEVEN"), ("a", "Tiny item"), ("a", "Tiny item"), ("c", "..."), (None, "lonely"), ("d", None), ("e", ten)], "item_id string, text string")
@@ -208,10 +222,44 @@ def test_near_duplicates(spark, odd, empty):
     assert len(got) == odd.count()
     by = {(r.doc_id, r.component_id) for r in got}
     assert {(0, 0), (1, 0), (2, 0), (7, 7), (8, 7)} <= by
-    kept = keep_one_of_each_group(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0)]
-    assert near_duplicate_groups(empty).count() == 0 and keep_one_of_each_group(empty).count() == 0
+    for groups in (near_duplicate_groups, near_copy_groups):
+        kept = keep_one_of_each_group(odd, groups(odd))
+        assert kept.columns == odd.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0)]
+        assert groups(empty).count() == 0 and keep_one_of_each_group(empty, groups(empty)).count() == 0
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Edited copies: links of five-word sets at 0.8 or more by all pairs against the groups found."""
+    rng = np.random.default_rng(19)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = []
+    for size, copies in ((400, 60), (150, 40), (90, 3), (90, 2), (60, 1), (500, 1)) * 6:
+        base = rng.choice(words, size)
+        for _ in range(copies):
+            t = base.copy()
+            spots = rng.integers(0, size, rng.integers(0, max(2, size // 40)))
+            t[spots] = rng.choice(words, len(spots))
+            texts.append(" ".join(t))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if not sets[i].isdisjoint(sets[j])}
+    got = {r.doc_id: r.component_id for r in near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    linked = [p for p, s in alike.items() if s >= 0.8]
+    assert len(linked) > 1000
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.95 * len(linked)
+    # Nothing below the estimate's error of 0.8 is put together but through others.
+    roots = list(range(len(texts)))
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for (i, j), s in alike.items():
+        if s >= 0.65:
+            a, b = find(i), find(j)
+            roots[max(a, b)] = min(a, b)
+    assert all(find(i) == find(c) for i, c in got.items())
 
 
 def test_hot_keys_are_solved_exactly(spark, monkeypatch):
