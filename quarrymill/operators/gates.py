@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrymill.functions.classify import dead_product
+
 #: The default core of a record; it is used for every content type unless ``core`` says otherwise.
 DEFAULT_CORE = ("title", "price", "availability", "original_price", "currency", "url", "src_url")
 MIN_COVERAGE, MIN_CONFIDENCE, PASS_CONFIDENCE, PARTIAL_CONFIDENCE = 0.80, 0.7, 0.85, 0.5
@@ -57,8 +59,34 @@ def adjusted_confidence(raw: Column, product_links: Column, selectors: Column, v
     return F.least(kept, F.coalesce(raw, F.lit(1.0)))
 
 
-def final_status(state: Column, error: Column, has_output: Column) -> Column:
-    return F.when(has_output, "completed").when(state.startswith("blocked"), state).when((F.coalesce(error, F.lit("")) != "") | (state == "failed"), "failed").otherwise("completed")
+# States in which a job ends before its run, and answers that cancel.
+BLOCKED_STATES = ("captcha_blocked", "akamai_blocked")
+CANCEL_LABELS = ("Cancel", "Abort", "No", "stop", "Stop")
+# Kinds of approval by the reason for asking; others are asked for the execution.
+APPROVAL_TYPES = {
+    "re_scrape": "re_scrape", "retry_failed": "re_scrape", "low_confidence": "confidence", "choose_mechanism": "mechanism", "low_coverage": "field_coverage",
+    "validation_failed": "validation", "field_confirmation": "field_confirm", "pre_execution": "execution", "reanalyze_exhausted": "validation", "skill_approval": "skill_update",
+}
+
+
+def final_status(state: Column, error: Column, execution: Column) -> Column:
+    """Blocked jobs stay blocked; an error or a failed run fails; everything else is completed."""
+    failed = (F.coalesce(error, F.lit("")) != "") | (F.coalesce(execution, F.lit("")) == "FAILED")
+    return F.when(state.isin(*BLOCKED_STATES), state).when(failed, "failed").otherwise("completed")
+
+
+def approval_type(reason: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in APPROVAL_TYPES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.coalesce(reason, F.lit(""))), F.lit("execution"))
+
+
+def valid_output(samples: Column) -> Column:
+    """``samples`` (title, price, status_code, remarks): whether a live one has a title and a price."""
+    return F.coalesce(F.exists(samples, lambda p: ~dead_product(p["status_code"], p["remarks"]) & (F.coalesce(p["title"], F.lit("")) != "") & (F.coalesce(p["price"], F.lit("")) != "")), F.lit(False))
+
+
+def core_present(fields: Column, core: Sequence[str] = DEFAULT_CORE) -> Column:
+    return (F.size(fields) > 0) & (F.size(F.array_except(F.array(*map(F.lit, core)), fields)) == 0)
 
 
 def service_health(age_seconds: Column, ok: Column, fresh: int = 300) -> Column:
@@ -74,6 +102,16 @@ def input_mode(mode: Column, criteria: Column) -> Column:
 
 
 def decision(payload: Column) -> Column:
-    """``cancel``, ``approve`` or the text of a human's answer, from JSON or plain text."""
-    said = F.lower(F.coalesce(F.get_json_object(payload, "$.decision"), payload, F.lit("")))
-    return F.when(said.isin("cancel", "reject", "stop"), "cancel").when(said.isin("approve", "approved", "yes", "continue", "ok"), "approve").otherwise(said)
+    """What a human answered: a JSON object's decision, choice or response (empty without any), or the text itself; no answer cancels."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(payload)), F.lit("")).startswith("OBJECT")
+    said = F.coalesce(*[F.get_json_object(payload, f"$.{k}") for k in ("decision", "choice", "response")], F.lit(""))
+    return F.when(payload.isNull(), "Cancel").when(is_object, said).otherwise(payload)
+
+
+def is_cancel(said: Column) -> Column:
+    return said.isin(*CANCEL_LABELS, "reject")
+
+
+def is_approve(said: Column) -> Column:
+    """Whatever is no cancel label approves."""
+    return ~said.isin(*CANCEL_LABELS)

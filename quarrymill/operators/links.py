@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from quarrymill.functions import urls as U
 from quarrymill.functions.html import squeeze
 
-ANCHOR = r"""(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>"""
+ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)[^>]*>(.*?)</a>"""
+#: What tells paging, for both engines' regular expressions.
+PAGER = r"""(?is)class\s*=\s*["'][^"']*\b(?:pagination|page-numbers|pager)\b[^"']*["'][^>]*>(.*?)</(?:ul|ol|nav|div)>"""
+LOAD_MORE_PART = r"""(?is)id\s*=\s*["']load-more[^"']*["'][^>]*>(.*?)</(?:div|section|p)>"""
+LINK_START = r"(?i)<a\s[^>]*href"
+NEXT_LINK = r"""(?i)<a\s[^>]*(?:rel\s*=\s*["']?next\b|class\s*=\s*["'][^"']*\bnext-page\b)"""
+NEXT_IN_PAGER = r"""(?i)class\s*=\s*["'](?:[^"']*\s)?next[\s"']"""
+LOAD_MORE_BUTTON = r"""(?i)<(?:button|a)\s[^>]*class\s*=\s*["'][^"']*load-more|class\s*=\s*["'](?:[^"']*\s)?show-more[\s"']"""
 #: Path endings that tell a site's kind of pages, in the order in which ties are settled.
 ENDINGS = (r"-c\.aspx$", r"-ch\d+\.aspx$", r"-c\.html$", r"\.aspx$", r"\.html$", r"\.htm$")
 CATEGORY_PATH = r"(?i)(-ch-|/c(?:ategory)?/|/collections/|/shop/|/browse/|-ch[0-9]+)"
@@ -18,8 +25,9 @@ CATEGORY_PATH = r"(?i)(-ch-|/c(?:ategory)?/|/collections/|/shop/|/browse/|-ch[0-
 
 def first_of_each(df: DataFrame, group: Sequence[str], key: str, order: Sequence[str], numbered: bool = True) -> DataFrame:
     """The first row of each key within ``group``, by ``order``; ``place`` numbers what is left within the group."""
-    w = Window.partitionBy(*group, key).orderBy(*order)
-    once = df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # A grouped minimum merges before the shuffle, where a window would sort every row of a frequent key.
+    first = df.groupBy(*group, key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("first"))
+    once = first.select("first.*")
     return once.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))) if numbered else once
 
 
@@ -34,13 +42,18 @@ def navigation_links(pages: DataFrame, limit: int = 50) -> DataFrame:
     return first_of_each(good, ["page_id"], "href", ["pos"]).filter(F.col("place") <= limit).select("page_id", "href", "text", F.col("place").cast("long").alias("place"))
 
 
-def all_links(pages: DataFrame, limit: int = 300) -> DataFrame:
-    """Same-host anchors of whole pages that may be categories: the fallback for pages without navigation."""
+def all_links(pages: DataFrame, scanned: int = 300, limit: int = 50) -> DataFrame:
+    """Same-host anchors of whole pages that may be categories: the fallback for pages without navigation.
+
+    The first ``scanned`` anchors of a page are looked at and the first ``limit`` links kept, as the reported list is.
+    """
     hrefs, texts = (F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    anchors = pages.select("page_id", "url", F.posexplode(F.slice(F.arrays_zip(hrefs.alias("href"), texts.alias("text")), 1, limit)).alias("pos", "a"))
-    links = anchors.select("page_id", "url", "pos", U.absolutise(F.col("a.href"), F.col("url")).alias("href"), squeeze(F.regexp_replace("a.text", "<[^>]+>", "")).alias("text"))
-    same = links.filter((U.host(F.col("href")) == U.host(F.col("url"))) & ~U.is_off_category(F.col("href"), F.col("text")))
-    return first_of_each(same, ["page_id"], "href", ["pos"]).select("page_id", "href", "text", F.col("place").cast("long").alias("place"))
+    anchors = pages.select("page_id", "url", F.posexplode(F.slice(F.arrays_zip(hrefs.alias("href"), texts.alias("text")), 1, scanned)).alias("pos", "a"))
+    said = anchors.filter(~F.col("a.href").rlike("^(?:#|javascript:|mailto:|tel:)"))
+    links = said.select("page_id", "url", "pos", U.absolutise(F.col("a.href"), F.col("url")).alias("href"), squeeze(F.regexp_replace("a.text", "<[^>]+>", "")).alias("text"))
+    worded = links.filter(F.length("text").between(2, 60))
+    same = worded.filter((U.host(F.col("href")) == U.host(F.col("url"))) & ~U.is_off_category(F.col("href"), F.col("text")))
+    return first_of_each(same, ["page_id"], "href", ["pos"]).filter(F.col("place") <= limit).select("page_id", "href", "text", F.col("place").cast("long").alias("place"))
 
 
 def links_with_fallback(pages: DataFrame) -> DataFrame:
@@ -106,25 +119,39 @@ def pages_until_nothing_new(listing: DataFrame) -> DataFrame:
     return first.join(stop, "site", "left").filter("stop IS NULL OR page_no < stop").drop("stop")
 
 
-def pagination_kind(html: Column, url: Column) -> Column:
+def pagination_kind(html: Column) -> Column:
+    """How a list goes on: a next link, inside a load-more part or not, then page numbers, then a load-more button.
+
+    Parts are told by class or id and end at the first closing tag of their kind, as no element tree is built.
+    """
+    pager = F.regexp_extract(html, PAGER, 1)
+    more = F.regexp_extract(html, LOAD_MORE_PART, 1)
     return (
-        F.when(html.rlike(r'(?i)rel="next"') | html.rlike(r"(?i)>\s*next\s*<"), "next")
-        .when(html.rlike("(?i)load more"), "load_more")
-        .when(url.rlike("[?&]page=[0-9]+"), "page_numbers")
+        F.when(more.rlike(LINK_START), "load_more")
+        .when(html.rlike(NEXT_LINK) | pager.rlike(NEXT_IN_PAGER), "next_button")
+        .when(pager.rlike(LINK_START), "page_numbers")
+        .when(html.rlike(LOAD_MORE_BUTTON), "load_more")
         .otherwise("none")
     )
 
 
 def discovery_method(fatal_locale: Column, searched: Column, criteria: Column, categories: Column, real_links: Column, pattern: Column) -> Column:
-    has_categories, has_real = categories >= 3, real_links > 0
-    return (
-        F.when(fatal_locale & ~has_real, "failed")
-        .when(searched & (criteria != "") & has_real, "search")
-        .when(has_categories & has_real, "category")
-        .when(pattern != "", "url_pattern")
-        .when(~has_categories & ~has_real & ~searched, "failed")
-        .otherwise(F.when(has_categories, "category").otherwise("unknown"))
+    """How a site's products are found: the first rule that holds."""
+    many, real = categories >= 3, real_links > 0
+    rules = (
+        ("failed", fatal_locale & ~real),
+        ("search", searched & (criteria != "") & real),
+        ("category", many & real),
+        ("url_pattern", pattern != ""),
+        ("failed", ~(many | real | searched)),
+        ("category", many),
     )
+    return F.coalesce(*[F.when(holds, name) for name, holds in rules], F.lit("unknown"))
+
+
+def inferred_paging(kind: Column, total: Column, found: Column) -> Column:
+    """Paging of a list: what was seen, 'unknown' where a stated total is above what was found, else empty."""
+    return F.coalesce(F.nullif(kind, F.lit("none")), F.when(F.coalesce(total, F.lit(0)) > found, "unknown"), F.lit(""))
 
 
 def keyword_collections(queries: DataFrame, keywords: DataFrame) -> DataFrame:

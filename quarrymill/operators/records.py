@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import jsonld as J
 from quarrymill.functions import normalize as N
+from quarrymill.shared import fresh_path
 
 
 def product(block: Column) -> dict[str, Column]:
@@ -99,13 +100,18 @@ def warned(price: Column, currency: Column, availability: Column) -> Column:
 
 
 def number_rows(records: DataFrame, order: str) -> DataFrame:
-    """``id`` from 1 on in the order of an explicit column, numbered in one pass per range of that column.
+    """``id`` from 1 on in the order of an explicit column.
 
-    ``zipWithIndex`` counts partitions first, so that no single task sees all rows.
+    Rows are ordered in ranges and written; ranges are counted, so that a row's number is the count before its range
+    and its place in it, and no single task sees all rows.
     """
-    ordered = records.orderBy(order)
-    schema = ordered.schema.add("id", "long", False)
-    return records.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    path = fresh_path(records.sparkSession, "numbered")
+    records.orderBy(order).select(F.struct("*").alias("row"), F.spark_partition_id().alias("part")).write.parquet(path)
+    rows = records.sparkSession.read.parquet(path)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("ahead"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("part").orderBy(f"row.{order}"))
+    return rows.withColumn("place", place).join(F.broadcast(ahead), "part").select("row.*", (F.col("ahead") + F.col("place")).cast("long").alias("id"))
 
 
 def merge_fields(direct: Column, existing: Column, mapped: Column) -> Column:

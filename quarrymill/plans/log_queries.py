@@ -28,13 +28,13 @@ _AGENT = "CASE turn % 3 WHEN 0 THEN 'site-analyzer' WHEN 1 THEN 'code-writer' EL
 
 
 @query(f"""
-SELECT conv_id, agent, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS tool_calls, coalesce(string_agg(substr(text, 1, 10), '|' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS said,
+SELECT conv_id, agent, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS tool_calls, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS said,
   CASE agent WHEN 'site-analyzer' THEN 0 WHEN 'code-writer' THEN 5 ELSE 999 END::BIGINT AS rank FROM (SELECT *, CASE WHEN {_AGENT} = '' THEN 'system' ELSE {_AGENT} END AS agent FROM conversations) GROUP BY conv_id, agent
 """)
 def agent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each agent's messages in order, with its place in the pipeline."""
     own = logs(spark, sf_dir).withColumn("agent", F.coalesce(F.nullif(F.expr(_AGENT), F.lit("")), F.lit("system")))
-    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.substring("text", 1, 10).alias("t")))))
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.col("text").alias("t")))))
     per = own.groupBy("conv_id", "agent").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("tool_calls"), said.alias("said"))
     rank = F.when(F.col("agent") == "site-analyzer", 0).when(F.col("agent") == "code-writer", 5).otherwise(999).cast("long")
     return per.select("conv_id", "agent", "messages", "tool_calls", F.array_join(F.transform("said", lambda s: s["t"]), "|").alias("said"), rank.alias("rank"))

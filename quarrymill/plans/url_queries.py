@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import urls as U
 from quarrymill.functions.html import title
+from quarrymill.operators import links as L
 from quarrymill.operators.links import category_choice, first_of_each, url_pattern_mode
 
 from .catalog import query, table
@@ -155,8 +156,8 @@ def url_equivalence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINK_SQL = """
 nav AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<nav[^>]*>(.*?)</nav>', 1)) AS n FROM pages),
-anchors AS (SELECT page_id, url, unnest(regexp_extract_all(n, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)) AS href0, unnest(regexp_extract_all(n, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS text0,
-  generate_subscripts(regexp_extract_all(n, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1), 1) AS pos FROM nav),
+anchors AS (SELECT page_id, url, unnest(regexp_extract_all(n, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]*)[^>]*>.*?</a>', 1)) AS href0, unnest(regexp_extract_all(n, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?[^"''\\s>]*[^>]*>(.*?)</a>', 1)) AS text0,
+  generate_subscripts(regexp_extract_all(n, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]*)[^>]*>.*?</a>', 1), 1) AS pos FROM nav),
 links AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(text0, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS text,
   CASE WHEN href0 = '' THEN '' WHEN starts_with(href0, 'http') THEN href0 WHEN starts_with(href0, '//') THEN 'https:' || href0
     ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href0 END AS href FROM anchors),
@@ -246,14 +247,38 @@ def link_category_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("page_id", "label", F.explode(F.transform(F.array(F.lit("/"), F.lit("/category/"), F.lit("/collections/")), lambda p: F.concat(origin, p, slug))).alias("href"))
 
 
-@query("""
-SELECT page_id, CASE WHEN regexp_matches(html, '(?i)rel="next"') OR regexp_matches(html, '(?i)>\\s*next\\s*<') THEN 'next' WHEN regexp_matches(html, '(?i)load more') THEN 'load_more'
-  WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN 'page_numbers' ELSE 'none' END AS pagination FROM pages
+_PAGED = """CASE page_id % 8 WHEN 0 THEN '<div id="load-more-component"><a href="/p2">More</a></div>' WHEN 1 THEN '<a class="x" rel="next" href="/p2">2</a>' WHEN 2 THEN '<ul class="pagination"><li class="next"><a href="/p2">&gt;</a></li></ul>'
+ WHEN 3 THEN '<div class="pager"><a href="/p2">2</a></div>' WHEN 4 THEN '<button class="btn Load-More">More</button>' WHEN 5 THEN '<p>next</p>' WHEN 6 THEN '<div class="show-more">x</div>' ELSE html END"""
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query(f"""
+SELECT page_id, CASE WHEN regexp_matches(regexp_extract(h, '{_quoted(L.LOAD_MORE_PART)}', 1), '{L.LINK_START}') THEN 'load_more'
+  WHEN regexp_matches(h, '{_quoted(L.NEXT_LINK)}') OR regexp_matches(regexp_extract(h, '{_quoted(L.PAGER)}', 1), '{_quoted(L.NEXT_IN_PAGER)}') THEN 'next_button'
+  WHEN regexp_matches(regexp_extract(h, '{_quoted(L.PAGER)}', 1), '{L.LINK_START}') THEN 'page_numbers' WHEN regexp_matches(h, '{_quoted(L.LOAD_MORE_BUTTON)}') THEN 'load_more' ELSE 'none' END AS pagination
+FROM (SELECT page_id, {_PAGED} AS h FROM pages)
 """)
 def link_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrymill.operators.links import pagination_kind
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"{_PAGED} AS h").select("page_id", L.pagination_kind(F.col("h")).alias("pagination"))
+
 
-    return table(spark, sf_dir, "pages").select("page_id", pagination_kind(F.col("html"), F.col("url")).alias("pagination"))
+@query(f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_quoted(L.ANCHOR)}', 1)[1:300]) AS raw, unnest(regexp_extract_all(html, '{_quoted(L.ANCHOR)}', 2)[1:300]) AS text0, unnest(range(least(300, len(regexp_extract_all(html, '{_quoted(L.ANCHOR)}'))))) AS pos FROM pages),
+l AS (SELECT page_id, pos, url, raw, trim(regexp_replace(regexp_replace(text0, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS text,
+  CASE WHEN raw = '' THEN '' WHEN starts_with(raw, 'http') THEN raw WHEN starts_with(raw, '//') THEN 'https:' || raw WHEN starts_with(raw, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || raw
+    ELSE regexp_replace(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*)', 1), '[^/]*$', '') || raw END AS href FROM a),
+g AS (SELECT * FROM l WHERE NOT regexp_matches(raw, '^(#|javascript:|mailto:|tel:)') AND length(text) BETWEEN 2 AND 60
+  AND lower(regexp_extract(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) = lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))
+  AND NOT regexp_matches(lower(href), '{"|".join(w.replace(".", chr(92) + ".") for w in U.OFF_CATEGORY)}') AND NOT regexp_matches(lower(text), '{"|".join(w.replace(".", chr(92) + ".") for w in U.OFF_CATEGORY)}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS rn FROM g),
+p AS (SELECT page_id, href, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM f WHERE rn = 1)
+SELECT * FROM p WHERE place <= 50
+""")
+def page_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.all_links(table(spark, sf_dir, "pages"))
 
 
 @query("SELECT page_id, length(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g')) AS n FROM pages")

@@ -11,10 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, a temporary one where that is unset; deleted at the end."""
+    """A new path in the folder of ``spark.checkpoint.dir``, in local mode a temporary one where that is unset; deleted at the end."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         sc.setCheckpointDir(named)
     top = f"{named.rstrip('/')}/quarrymill-{uuid.uuid4().hex}"

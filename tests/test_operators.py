@@ -45,7 +45,12 @@ def test_gates(spark):
     t = spark.range(1)
     assert t.select(gates.service_health(F.lit(None).cast("int"), F.lit(True)), gates.service_health(F.lit(10), F.lit(True)), gates.service_health(F.lit(900), F.lit(True))).head()[:] == ("unknown", "up", "degraded")
     assert t.select(gates.extended_budget(F.lit(45), F.lit(6)), gates.extended_budget(F.lit(45), F.lit(2))).head()[:] == (50, 45)
-    assert t.select(gates.decision(F.lit('{"decision": "Approve"}')), gates.decision(F.lit("stop")), gates.input_mode(F.lit("url_list"), F.lit("x"))).head()[:] == ("approve", "cancel", "search_term")
+    assert t.select(gates.decision(F.lit('{"decision": "Approve"}')), gates.decision(F.lit("stop")), gates.input_mode(F.lit("url_list"), F.lit("x"))).head()[:] == ("Approve", "stop", "search_term")
+    said = spark.createDataFrame([(x,) for x in ("Cancel", '{"choice": "Abort"}', '{"decision": "reject"}', '{"response": "go on"}', "{}", "whatever", "cancel", None)], "p string").select(gates.decision(F.col("p")).alias("d"))
+    assert [r[:] for r in said.select(gates.is_cancel(F.col("d")), gates.is_approve(F.col("d"))).collect()] == [(True, False), (True, False), (True, True), (False, True), (False, True), (False, True), (False, True), (True, False)]
+    ends = [("captcha_blocked", "boom", "FAILED"), ("akamai_blocked", None, None), ("blocked", None, "DONE"), ("running", "boom", None), ("running", "", "FAILED"), (None, None, None)]
+    got = spark.createDataFrame(ends, "s string, e string, x string").select(gates.final_status(F.col("s"), F.col("e"), F.col("x")))
+    assert [r[0] for r in got.collect()] == ["captcha_blocked", "akamai_blocked", "completed", "failed", "failed", "completed"]
 
 
 def test_sources(spark, tmp_path):
