@@ -36,18 +36,18 @@ from .rans import Coder, table
 
 #: Tokens that a part of the file aims at.
 PART_TOKENS = 8_000_000
-#: Words and pre-tokens whose ids a worker remembers before the older half goes.
+#: Pre-tokens whose ids a worker remembers before the older half goes.
 MEMO_WORDS = 900_000
 #: Documents are coded in groups of about so many ids at a time.
 GROUP_TOKENS = 1_500_000
 
 
 #: Documents are tokenized in groups of about so many bytes; a longer document is a group of its own.
-GROUP_BYTES = 2_500_000
+GROUP_BYTES = 5_000_000
 #: Texts of these characters alone are lower-cased alike by Python and the library, and stay as they are under NFC.
 _LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba-\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
-# The vocabulary's pre-tokens, for lower-cased words of such characters.
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# The vocabulary's pre-tokens other than runs of letters, for lower-cased texts of such characters.
+_NOT_LETTERS = r"'(?:s|t|re|ve|m|ll|d)|[^\s\x0b\x{85}\x{a0}\p{L}\p{N}]+|\p{N}"
 # How the vocabulary normalises and cuts texts, which the encoder relies on.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -62,10 +62,10 @@ PRE_TOKENIZER = {
 class WordEncoder:
     """Text to ids with the tokenizers library, which sees every distinct pre-token once while the memo holds it.
 
-    No pre-token of the vocabulary spans white space and normalisation doesn't either, so the ids of a text are those
-    of its white-space separated words, and a word's ids are those of its pre-tokens. Pre-tokens are already
-    normalised when the library gets them, so its copy here only splits at white space. Texts with other characters
-    than Latin ones and common punctuation, or with a special string, go to the library whole.
+    No pre-token of the vocabulary spans white space and normalisation doesn't either, so with spaces around every
+    pre-token that isn't a run of letters, the ids of a text are those of its white-space separated words. These are
+    already normalised when the library gets them, so its copy here only splits at white space. Texts with other
+    characters than Latin ones and common punctuation, or with a special string, go to the library whole.
     """
 
     def __init__(self, vocabulary: str, memo_words: int = MEMO_WORDS):
@@ -107,18 +107,20 @@ class WordEncoder:
             raw, cuts = ids.tobytes(), [0, *(ends * width).tolist()]
             self.memo.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
-    def _learn(self, words: set[str]) -> None:
-        memo, old = self.memo, self.old
-        known = words & old.keys() if old else ()
-        memo.update(zip(known, map(old.__getitem__, known)))
-        unknown = words.difference(known)
-        whole = set(filter(str.isalpha, unknown))
-        mixed = [(w, _PRE_TOKEN.findall(w)) for w in unknown.difference(whole)]
-        parts = whole.union(*[p for _, p in mixed]).difference(memo)
-        known = parts & old.keys() if old else ()
-        memo.update(zip(known, map(old.__getitem__, known)))
-        self._library(list(parts.difference(known)))
-        memo.update((w, b"".join(map(memo.__getitem__, p))) for w, p in mixed)
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens, learnt where neither half of the memo holds them."""
+        if len(self.memo) > self.limit:
+            self.old, self.memo = self.memo, {}
+        self.memo[""] = b""  # outer white space cuts off empty words
+        raw = list(map(self.memo.get, words))
+        new = [i for i, r in enumerate(raw) if r is None]
+        names = [words[i] for i in new]
+        older = list(map(self.old.get, names))
+        self.memo.update((w, r) for w, r in zip(names, older) if r is not None)
+        self._library([w for w, r in zip(names, older) if r is None])
+        for i, w in zip(new, names):
+            raw[i] = self.memo[w]
+        return raw
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without an end id."""
@@ -128,31 +130,26 @@ class WordEncoder:
     def encode_array(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, sizes)``: the ids of all texts one after another, ``end_id`` after each, and how many a text has.
 
-        Arrow lowers, splits and numbers the words, so that Python meets each distinct word of the group once.
+        Arrow lowers, splits and numbers the words and puts their ids together again, so that Python meets each
+        distinct word of the group once.
         """
         strings = texts.to_pylist()
         whole = [i for i, t in enumerate(strings) if t and (not _LATIN.fullmatch(t) or any(s in t for s in self.special))]
         mask = np.zeros(len(strings), bool)
         mask[whole] = True
-        cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(mask), "", pc.fill_null(texts, ""))))
+        low = pc.utf8_lower(pc.if_else(pa.array(mask), "", pc.fill_null(texts, "")))
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(low, _NOT_LETTERS, r" \0 "))
         coded = cut.flatten().dictionary_encode()
-        words, last = coded.dictionary.to_pylist(), np.asarray(cut.offsets)[1:]
-        if len(self.memo) > self.limit:
-            self.old, self.memo = self.memo, {}
-        self._learn(set(words).difference(self.memo))
-        raw = list(map(self.memo.__getitem__, words))
+        words, last = coded.dictionary.to_pylist(), np.asarray(cut.offsets)[1:].astype(np.int64)
+        raw = self._ids_of(words)
         # After the words: the end id, then the texts that go to the library whole.
         raw += [np.array([end_id], self.dtype).tobytes(), *(np.array(self.tok.encode(strings[i], add_special_tokens=False).ids, self.dtype).tobytes() for i in whole)]
-        number = np.insert(
-            np.asarray(coded.indices), np.concatenate((last[whole], last)).astype(np.int64), np.concatenate((len(words) + 1 + np.arange(len(whole)), np.full(len(last), len(words))))
-        )
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
-        n = size[number]
-        to = np.cumsum(n)
-        shift = ((np.cumsum(size) - size)[number] - (to - n)).astype(np.int32)  # a group is far below 2^31 ids
-        ids = np.frombuffer(b"".join(raw), self.dtype)[np.repeat(shift, n) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)]
-        ends = np.concatenate(([0], to[np.flatnonzero(number == len(words))]))
-        return ids, np.diff(ends)
+        number = np.insert(np.asarray(coded.indices), np.concatenate((last[whole], last)), np.concatenate((len(words) + 1 + np.arange(len(whole)), np.full(len(last), len(words)))))
+        put = pa.array(raw, pa.large_binary()).take(pa.array(number))
+        _, offsets, data = put.buffers()
+        to = np.frombuffer(offsets, np.int64)[: len(number) + 1] // self.dtype.itemsize
+        ids = np.frombuffer(data, self.dtype)[: to[-1]] if to[-1] else np.empty(0, self.dtype)
+        return ids, np.diff(to[1:][number == len(words)], prepend=0)
 
 
 @lru_cache(maxsize=2)
