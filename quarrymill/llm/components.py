@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def _star(links: DataFrame, both_ways: DataFrame, large: bool) -> DataFrame:
-    mins = both_ways.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-    joined = links.join(written(mins, "mins"), "u")
+    """The links after a step, written; those before it are deleted."""
+    mins = written(both_ways.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")), "mins")
     if large:
-        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        joined = both_ways.filter("v > u").join(mins, "u")
+        out = joined.select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(mins.select("u", F.col("low").alias("v")))
-    return out.filter("u <> v").distinct()
+        out = links.join(mins, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(mins.select("u", F.col("low").alias("v")))
+    out = written(out.filter("u <> v").distinct(), "links")
+    drop_written(mins)
+    drop_written(links)
+    return out
 
 
 def _sum_up(links: DataFrame) -> tuple:
@@ -34,8 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _sum_up(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = written(_star(both, both, large=True), "links")
-        now = written(_star(now, now, large=False), "links")
+        now = _star(now, both, large=True)
+        now = _star(now, now, large=False)
         state, last = _sum_up(now), state
         if state == last:
             break
