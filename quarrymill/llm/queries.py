@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .common import fresh_path, table, written
 from .decontaminate import contamination
 from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_scan
 from .main_text import extract_main_text
+from .merkle import folded_root, leaf_digest, manifest
 from .mixing import plan_mix
 from .quality import features, fit_on_labels, held_out, score
 from .repetition import repetition_rules
@@ -82,6 +84,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before, lowered = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select("doc_id", "source", leaf_digest(*before, F.col("text")).alias("leaf"), F.when(tampered, leaf_digest(*before, lowered)).alias("altered"))
+    proofs = manifest(written(leaves, "leaf_digests")).withColumn("altered", F.coalesce("altered", "leaf"))
+    told = folded_root(proofs, "altered")
+    return told.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -182,6 +194,55 @@ SELECT doc_id, f.path, coalesce(own, inherited, '') AS licence,
 FROM f LEFT JOIN ownf ON f.path = ownf.path LEFT JOIN nearest ON f.dir = nearest.dir
 """
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+def _tree_sql(name: str, levels: int, fanout: int = 16) -> str:
+    """``{name}0`` (tree, pos, digest, n) and every level above it, as CTEs; a level of one digest is the last of its tree."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_runs{k} AS (
+  SELECT tree, pos // {fanout} AS pos, list(digest ORDER BY pos) AS run, (any_value(n) + {fanout - 1}) // {fanout} AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // {fanout}
+), {name}{k + 1} AS (SELECT tree, pos, sha256(array_to_string(run, '')) AS digest, n FROM {name}_runs{k})""")
+    tops = " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join(out) + f", {name}_tops AS ({tops})"
+
+
+def _climb_sql(name: str, start: str, levels: int, fanout: int = 16) -> str:
+    """From ``start`` (rid, tree, pos, ...; ``proof`` and ``folded`` so far) through every level of the trees."""
+    out, last = [], start
+    for k in range(levels):
+        place = f"(c.pos % {fanout})::INTEGER"
+        out.append(f"""{name}_climb{k} AS (
+  SELECT rid, c.tree, c.pos // {fanout} AS pos,
+         CASE WHEN r.run IS NULL THEN proof ELSE proof || array_to_string(r.run[:{place}] || r.run[{place} + 2:], '') END AS proof,
+         CASE WHEN r.run IS NULL THEN folded ELSE sha256(array_to_string(r.run[:{place}], '') || folded || array_to_string(r.run[{place} + 2:], '')) END AS folded
+  FROM {last} c LEFT JOIN {name}_runs{k} r ON c.tree = r.tree AND c.pos // {fanout} = r.pos)""")
+        last = f"{name}_climb{k}"
+    return ", ".join(out) + f", {name}_end AS (SELECT * FROM {last})"
+
+
+#: Seven levels hold 16 ** 7 rows of a source.
+OP13_SQL = rf"""
+WITH crc(step) AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY i) FROM (SELECT unnest(range(256)) AS i)
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format(text="text")} AS leaf,
+         {_LEAF.format(text=f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS altered,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)))::BIGINT[], lambda x, y: xor(x >> 8, step[xor(x & 255, y) + 1])), 4294967295) % 5 = 0 AS tampered
+  FROM documents, crc
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), low0 AS (SELECT tree, pos, leaf AS digest, n FROM s), {_tree_sql("low", 7)},
+high0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n FROM low_tops), {_tree_sql("high", 7)},
+low_start AS (SELECT rid, tree, pos, '' AS proof, CASE WHEN tampered THEN altered ELSE leaf END AS folded FROM s), {_climb_sql("low", "low_start", 7)},
+high_start AS (
+  SELECT rid, '' AS tree, h.pos, proof, folded FROM low_end e JOIN (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS pos FROM low_tops) h ON e.tree = h.tree
+), {_climb_sql("high", "high_start", 7)}
+SELECT doc_id, leaf, low_tops.digest AS subroot, high_tops.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = high_tops.digest AS verified
+FROM s JOIN high_end USING (rid) JOIN low_tops ON s.tree = low_tops.tree, high_tops
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_decontamination": op2_decontamination,
@@ -193,5 +254,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
+    "op13_manifest": op13_manifest,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_licences": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_licences": OP9_SQL, "op13_manifest": OP13_SQL}
