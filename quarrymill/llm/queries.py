@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe_count import count_tokens
 from .common import fresh_path, table, written
 from .decontaminate import contamination
+from .divergence import divergence
 from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_scan
 from .main_text import extract_main_text
 from .merkle import folded_root, leaf_digest, manifest
@@ -84,6 +85,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before, lowered = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
@@ -194,6 +199,32 @@ SELECT doc_id, f.path, coalesce(own, inherited, '') AS licence,
 FROM f LEFT JOIN ownf ON f.path = ownf.path LEFT JOIN nearest ON f.dir = nearest.dir
 """
 
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x60\x7B-\x7F]+') AS words FROM documents
+), grp AS (SELECT DISTINCT lang, source FROM d
+), each AS (SELECT rid, lang, source, unnest(words) AS term FROM d
+), kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), cnt AS (SELECT lang, source, term, count(*) AS c FROM each JOIN kept USING (lang, term) GROUP BY ALL
+), tot AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL
+), ltot AS (SELECT lang, sum(c) AS n FROM cnt GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) AS p
+  FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN tot USING (lang, source) LEFT JOIN cnt USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(n) + any_value(v)) AS q
+  FROM cnt JOIN ltot USING (lang) JOIN size USING (lang) GROUP BY lang, term
+), val AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM size)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM val)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
 
@@ -254,6 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
+    "op12_source_divergence": op12_source_divergence,
     "op13_manifest": op13_manifest,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_licences": OP9_SQL, "op13_manifest": OP13_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_licences": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_manifest": OP13_SQL}
