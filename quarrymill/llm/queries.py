@@ -16,6 +16,7 @@ from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_sc
 from .main_text import extract_main_text
 from .merkle import folded_root, leaf_digest, manifest
 from .mixing import plan_mix
+from .piecewise import next_likeness
 from .quality import features, fit_on_labels, held_out, score
 from .repetition import repetition_rules
 from .secrets_scan import KINDS, scan_secrets, span_text
@@ -85,6 +86,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op11_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_likeness(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -285,6 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
+    "op11_piecewise_hash": op11_piecewise_hash,
     "op12_source_divergence": op12_source_divergence,
     "op13_manifest": op13_manifest,
 }
