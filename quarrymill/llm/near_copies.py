@@ -1,32 +1,30 @@
-"""Near copies: documents whose five-word shingles are alike by 0.8 or more (``near_copy_groups``), a wide SimHash with Golay keys.
-
-A document's set of shingles gives a SimHash of ``WORDS`` 64-bit words. The share of differing bits of two documents
-estimates the angle between their sets and with it their Jaccard similarity; at 0.8 the estimate's standard error is
-0.04. Twelve segments of 23 bits are decoded to the indices of their nearby Golay codewords. A key is one such index of
-one segment together with a min-hash of the set, the least of one word's hashes, of which there are six. A min-hash of
-two documents is the same with a probability equal to their similarity, a segment shares an index with 0.6 at 0.8: two
-documents at 0.8 share a key with a probability above 0.99. Documents that have no shingle in common share no min-hash,
-so that keys don't meet by chance however many documents there are.
-
-Documents with equal first words (64 equal bits) are one node. A key's nodes are not paired with each other: each is
-held against a few leaders among them, which hashes choose anew for every round, by the first word and then by all
-words, so that the work grows with the keys and a group of thousands of copies is no more than its members. Nodes that
-link form components; rounds go on over the keys that still hold several components, until one with ``LEADERS`` leaders
-finds no link. The first takes ``FIRST_LEADERS``: large groups are mostly one component after it.
-
-Defined results: a null, empty or blank text has all words zero and is linked like any other; a text of fewer words than a
-shingle is one shingle; very long texts are read whole; a bit that half of the shingles set is zero; rows with equal ids each give a row;
-a component of null ids alone has a null component_id; an empty table gives an empty result; only id and text columns are read.
+"""Near copies: documents whose five-word shingles are alike by 0.8 or more (``near_copy_groups``), by SimHash and Golay keys.
+
+A document's set of shingles gives a SimHash of ``WORDS`` 64-bit words and ``SEGMENTS`` min-hashes. Segments of 23 bits are
+decoded to the indices of their nearby Golay codewords; a key is one such index of a segment together with the segment's
+min-hash. Two documents at 0.8 have a min-hash in common with a probability of 0.8 and an index with 0.6, so that they
+share one of eight keys with 0.995, closer ones with more. Documents without a common shingle share no min-hash, so that
+keys don't meet by chance however many documents there are.
+
+Documents with equal sets are one node. Every key's nodes are held against one leader first, which joins most of a large
+group of copies; the pairs that share a key and lie in different components after that are all compared: in keys of up to
+``PAIR_NODES`` nodes as pairs, in larger ones in blocks of ``BLOCK`` nodes by numpy, a block against each other in a task of its own that
+gives back only the links that join components. No pair that shares a key is left out, but for those that differ in more
+than ``FIRST_BITS`` of their first word (3.6 standard errors above the mean at 0.8). Whether a pair is linked is decided by
+the sets themselves: the shared part of their shingles' 32-bit hashes.
+
+Defined results: a null, empty or blank text has no shingles and is linked with others of that kind; a text of fewer words
+than a shingle is one shingle; very long texts are read whole; rows with equal ids each give a row; a component of null ids
+alone has a null component_id; an empty table gives an empty result; only id and text columns are read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -34,62 +32,66 @@ from .components import connected_components
 from .golay import WORD_BITS, near_codewords
 from .simhash import _shingles
 
-WORDS, SEGMENTS, FIRST_LEADERS, LEADERS = 6, 12, 2, 12
-#: First words of similar documents differ in at most so many bits: 3.6 standard errors above the mean at 0.8.
+WORDS, SEGMENTS, PAIR_NODES, BLOCK = 3, 8, 24, 512
 FIRST_BITS = 20
+#: Blocks look at pairs in full whose estimate, from as many bins of smallest hashes, is less than this under the similarity.
+BINS, SLACK = 256, 0.08
 _CHUNK = 1 << 13
 
 
-def max_bits(similarity: float) -> int:
-    """So many of all bits differ on average between sets of equal size with that Jaccard similarity."""
-    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * WORDS)
-
-
-def wide_print(text: str | None, n: int = 5, seed: int = 42) -> np.ndarray:
-    """The ``WORDS`` words of a text's set of shingles, then as many min-hashes of it."""
+def wide_print(text: str | None, n: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash words and min-hashes of a text's set of shingles, and the set: sorted 32-bit hashes."""
     import xxhash
 
     grams = _shingles(text, n) if text else []
     if not grams:
-        return np.zeros(2 * WORDS, np.uint64)
+        return np.zeros(WORDS + SEGMENTS, np.uint64), np.empty(0, np.uint32)
     digest = xxhash.xxh64_intdigest
-    own = np.fromiter({digest(g, seed) for g in set(grams)}, np.uint64)
-    total, least = np.zeros(64 * WORDS, np.int64), np.full(WORDS, ~np.uint64(0))
-    step = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.unique(np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams)))
+    total, least = np.zeros(64 * WORDS, np.int64), np.full(SEGMENTS, ~np.uint64(0))
+    step = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(own), _CHUNK):
         x = own[at : at + _CHUNK, None] + step  # further words are the mixed hash
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         x = x ^ x >> np.uint64(31)
         least = np.minimum(least, x.min(axis=0))
-        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.concatenate((np.packbits(2 * total > len(own), bitorder="little").view(np.uint64), least))
+        total += np.unpackbits(np.ascontiguousarray(x[:, :WORDS]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    words = np.packbits(2 * total > len(own), bitorder="little").view(np.uint64)
+    return np.concatenate((words, least)), np.unique((own >> np.uint64(32)).astype(np.uint32))
 
 
 def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, seed: int = 42) -> DataFrame:
-    """``(id, text_hash, node, more)``: the first word, and the others with the min-hashes, of every document."""
+    """``(id, text_hash, node, marks, shingles)``: hash of the set, words and min-hashes, and the set of every document."""
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = np.array([wide_print(t.as_py(), n, seed) for t in b.column(1)], np.uint64).reshape(-1, 2 * WORDS).view(np.int64)
-            more = pa.FixedSizeListArray.from_arrays(pa.array(words[:, 1:].ravel()), 2 * WORDS - 1).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words[:, 0].copy()), more], ["id", "text_hash", "node", "more"])
+        import xxhash
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_hash long, node long, more array<long>")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                marks, sets = zip(*(wide_print(t.as_py(), n, seed) for t in b.column(1)))
+                raw = [s.tobytes() for s in sets]
+                node = np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64)
+                flat = pa.array(np.concatenate(marks).view(np.int64))
+                listed = pa.FixedSizeListArray.from_arrays(flat, WORDS + SEGMENTS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), listed, pa.array(raw, pa.binary())], ["id", "text_hash", "node", "marks", "shingles"])
 
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_hash long, node long, marks array<long>, shingles binary")
 
-def segment_keys(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)``: for each segment of each row's further words up to six keys, a min-hash mixed with a codeword index."""
-    bits = np.unpackbits(np.ascontiguousarray(more[:, : WORDS - 1]).view(np.uint8).reshape(len(more), -1), axis=1, bitorder="little")
-    least = more[:, WORDS - 1 :].astype(np.uint64)
+
+def segment_keys(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: for each segment of each row up to six keys, a min-hash mixed with a codeword index."""
+    bits = np.unpackbits(np.ascontiguousarray(marks[:, :WORDS]).view(np.uint8).reshape(len(marks), -1), axis=1, bitorder="little")
+    least = marks[:, WORDS:].view(np.uint64)
     place = 1 << np.arange(WORD_BITS)
     rows, keys = [], []
     for t in range(SEGMENTS):
         index, n = near_codewords(bits[:, t * WORD_BITS : (t + 1) * WORD_BITS] @ place)
         row, i = np.nonzero(np.arange(6) < n[:, None])
         rows.append(row)
-        keys.append(least[row, t % WORDS] ^ (index[row, i].astype(np.uint64) + np.uint64(t << 12)) * np.uint64(0x9E3779B97F4A7C15))
+        keys.append(least[row, t] ^ (index[row, i].astype(np.uint64) + np.uint64(t << 12)) * np.uint64(0x9E3779B97F4A7C15))
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
@@ -97,55 +99,123 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             b = batch.slice(at, 2000)
-            row, key = segment_keys(np.asarray(b.column(1).flatten()).reshape(-1, 2 * WORDS - 1).copy())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(b.column(0))[row])], ["key", "node"])
-
-
-def near_copy_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``nodes`` (node, more) to ``(node, root)`` for every node with a link: its component's smallest node."""
-    keyed = nodes.select("node", "more").mapInArrow(_keyed, "key long, node long")
-    shared = written(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key"), "shared")
-    roots, turn = None, 0
-    while True:
-        # All keys choose by the same hashes, so that a group's keys agree on most of their leaders.
-        chosen = [F.min_by("node", F.xxhash64("node", F.lit(turn * LEADERS + i))) for i in range(LEADERS if turn else FIRST_LEADERS)]
-        leaders = shared.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-        each = shared.join(leaders, "key").select("node", F.explode("leaders").alias("other"))
-        pairs = each.filter((F.col("node") != F.col("other")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= FIRST_BITS))
-        pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-        if roots is not None:
-            for end in ("u", "v"):
-                pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-            pairs = pairs.filter("root_u <> root_v")
-        else:
-            pairs = pairs.withColumns({"root_u": F.col("u"), "root_v": F.col("v")})
-        a, b = (nodes.select(F.col("node").alias(c), F.col("more").alias(f"more_{c}")) for c in ("u", "v"))
-        differ = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + sum(F.bit_count(F.get("more_u", F.lit(i)).bitwiseXOR(F.get("more_v", F.lit(i)))) for i in range(WORDS - 1))
-        found = pairs.join(a, "u").join(b, "v").filter(differ <= max_bits(similarity)).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-        found = written(found.distinct(), "found")
-        turn += 1
-        if found.isEmpty() and turn > 1:
-            for done in (shared, found):
-                drop_written(done)
-            return roots
-        # Only components that were apart are joined; what they held before follows.
-        parts = joined = connected_components(found)
-        if roots is not None:
-            moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
-            joined = moved.union(joined.join(roots, "node", "left_anti"))
-        old, roots = (found, parts, *([roots] if roots is not None else [])), written(joined, "roots")
-        held = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("key")
-        old, shared = (*old, shared), written(shared.join(open_keys, "key"), "shared")
-        for done in old:
-            drop_written(done)
+            marks = np.asarray(b.column(1).flatten()).reshape(-1, WORDS + SEGMENTS).copy()
+            row, key = segment_keys(marks)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(b.column(0))[row]), pa.array(marks[row, 0])], ["key", "node", "word"])
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of 32-bit numbers, each sorted."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+            # The smaller set's share bounds the similarity.
+            good = [min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity for x, y in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (u, v) whose sets are alike."""
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("u", "v"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(_alike(similarity), "u long, v long")
+
+
+def _near(one: Column, other: Column) -> Column:
+    return F.bit_count(one.bitwiseXOR(other)) <= FIRST_BITS
+
+
+def _sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set the smallest rest of the hashes in each of ``BINS`` bins; all ones where a bin has none."""
+    out = np.full((len(sets), BINS), 0xFFFFFFFF, np.uint32)
+    for row, s in zip(out, sets):
+        mixed = s * np.uint32(0x9E3779B1)
+        np.minimum.at(row, mixed % BINS, mixed >> np.uint32(8))
+    return out
+
+
+def block_links(nodes: np.ndarray, roots: np.ndarray, words: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join different roots, of rows where ``left`` holds with all others; of all with each other if it holds for all."""
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (n := up.get(r, r)) != r:
+            r = n
+        return r
+
+    words = words.view(np.uint64)  # of signed numbers, numpy counts the absolute value's bits
+    sketch, sizes, found = _sketch(sets), np.array([len(s) for s in sets]), []
+    whole = bool(left.all())
+    for i in np.flatnonzero(left):
+        others = np.arange(i + 1, len(nodes)) if whole else np.flatnonzero(~left)
+        own = find(int(roots[i]))
+        others = others[(roots[others] != roots[i]) & (np.bitwise_count(words[others] ^ words[i]) <= FIRST_BITS)]
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
+        if not len(others):
+            continue
+        there = (sketch[others] != 0xFFFFFFFF) | (sketch[i] != 0xFFFFFFFF)
+        same = ((sketch[others] == sketch[i]) & there).sum(axis=1)
+        others = others[same >= (similarity - SLACK) * there.sum(axis=1)]
+        for j in others:
+            if find(int(roots[j])) != own and jaccard(sets[i], sets[j]) >= similarity:
+                found.append((int(nodes[i]), int(nodes[j])))
+                up[find(int(roots[j]))] = own
+    return found
+
+
+def _blocks(similarity: float):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        nodes, roots, words, own, side = (rows[c].to_numpy() for c in ("node", "root", "word", "block", "low"))
+        sets = [np.frombuffer(s, np.uint32) for s in rows["shingles"].to_pylist()]
+        links = block_links(nodes, roots, words, sets, own == side, similarity)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def near_copy_links(nodes: DataFrame, prints: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``nodes`` (node, row, marks) to ``(node, root)`` for every node with a link: its component's smallest node."""
+    sets = prints.join(nodes.select("row"), "row", "left_semi").select("node", "shingles")
+    keyed = written(nodes.select("node", "marks").mapInArrow(_keyed, "key long, node long, word long"), "keyed")
+    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("node", "word"), F.xxhash64("node")).alias("leader"))
+    met = keyed.join(leaders, "key").filter((F.col("node") != F.col("leader.node")) & _near(F.col("word"), F.col("leader.word")))
+    pairs = met.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v")).distinct()
+    first = written(_verified(pairs, sets, similarity), "first")
+    roots = connected_components(first)
+
+    # All other pairs of a key, where it still holds several components.
+    held = written(keyed.join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root")), "held")
+    counted = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z AND n > 2").select("key", "n")
+    shared = written(held.join(counted, "key"), "shared")
+    small = shared.filter(F.col("n") <= PAIR_NODES).groupBy("key").agg(F.collect_list(F.struct("node", "word", "root")).alias("all"))
+    two = small.select(F.explode("all").alias("u"), "all").select("u", F.explode(F.filter("all", lambda v: (v["node"] > F.col("u.node")) & (v["root"] != F.col("u.root")) & _near(v["word"], F.col("u.word")))).alias("v"))
+    few = _verified(two.select("u.node", F.col("v.node").alias("other")).toDF("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), sets, similarity)
+
+    large = shared.filter(F.col("n") > PAIR_NODES).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = large.select("key", "node", "word", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("key", "node", "word", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    many = each.join(sets, "node").groupBy("key", "low", "high").applyInArrow(_blocks(similarity), "u long, v long")
+
+    links = first.union(few).union(many)
+    out = connected_components(links)
+    for done in (keyed, first, held, shared):
+        drop_written(done)
+    return out
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """``(id, text_hash, fp, component_id)``, a row per document; component_id is the smallest id that links reach."""
-    prints = written(wide_prints(docs, id_col, text_col, n, seed), "prints")
-    nodes = written(prints.groupBy("node").agg(F.min("id").alias("low"), F.min("more").alias("more")), "nodes")
-    roots = near_copy_links(nodes, similarity)
+    prints = written(wide_prints(docs, id_col, text_col, n, seed).withColumn("row", F.monotonically_increasing_id()), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min("id").alias("low"), F.min("row").alias("row"), F.min("marks").alias("marks")), "nodes")
+    roots = near_copy_links(nodes, prints, similarity)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = written(rooted.join(lowest, "root").select("node", "component_id"), "classes")

@@ -16,44 +16,26 @@ def test_stages_in_order():
 
 
 def _near_copies(texts):
-    """index -> smallest index reachable through pairs whose wide prints, made here from their definition, are alike by 0.8."""
-    import math
+    """index -> smallest index reachable through pairs whose sets of five-word shingles are alike by 0.8, by all pairs."""
     import re
 
-    import xxhash
-
-    mask = 2**64 - 1
-
-    def print_of(text):
-        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-        words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-        grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-        out = 0
-        for k in range(6):
-            mixed = []
-            for g in grams:
-                x = (xxhash.xxh64_intdigest(g.encode(), 42) + k * 0x9E3779B97F4A7C15) & mask
-                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-                x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-                mixed.append(x ^ x >> 31)
-            out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)) << 64 * k
-        return out
-
-    prints = [print_of(t) for t in texts]
-    most = int(math.acos(1.6 / 1.8) / math.pi * 384)
-    root = list(range(len(prints)))
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(prints)):
+    for i in range(len(sets)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= most:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(prints))]
+    return [find(i) for i in range(len(sets))]
 
 
 def test_pipeline_rows(spark, sf_dir):
