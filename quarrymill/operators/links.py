@@ -101,11 +101,18 @@ def largest_grid(cards: DataFrame, least: int = 3) -> DataFrame:
 
 
 def strategy_cascade(found: DataFrame, least: int = 3, limit: int = 200) -> DataFrame:
-    """``found`` (page_id, strategy, href, pos): links up to the first strategy with which a page has enough."""
+    """``found`` (page_id, strategy, href, pos): links up to the first strategy with which a page has enough.
+
+    Where there is a ``stage``, whose strategies are numbered one after the other, a stage is entered only while a page has
+    fewer than ``least`` links, and its strategies go on until there are as many as their ``enough`` says.
+    """
+    if "stage" not in found.columns:
+        found = found.withColumns({"stage": F.col("strategy"), "enough": F.lit(least)})
     unique = first_of_each(found, ["page_id"], "href", ["strategy", "pos"], numbered=False)
-    per = unique.groupBy("page_id", "strategy").agg(F.count("*").alias("n"))
+    per = unique.groupBy("page_id", "stage", "strategy", "enough").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("page_id").orderBy("strategy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = per.withColumn("_before", before).filter(F.col("_before") < least).select("page_id", "strategy")
+    at_entry = F.min("_before").over(Window.partitionBy("page_id", "stage"))
+    used = per.withColumn("_before", before).withColumn("_entry", at_entry).filter((F.col("_entry") < least) & (F.col("_before") < F.col("enough"))).select("page_id", "strategy")
     placed = unique.join(used, ["page_id", "strategy"]).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("strategy", "pos")))
     return placed.filter(F.col("place") <= limit)
 

@@ -132,13 +132,15 @@ def page_locale_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.select("page_id", U.locale_note(F.col("u"), F.col("l")).alias("note"))
 
 
-_REF = "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://a.example.com/x' WHEN 2 THEN '//cdn.example.com/y.js' WHEN 3 THEN '/rooted/z' ELSE 'beside?k=v' END"
+_REF = """CASE page_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'https://a.example.com/x/../y' WHEN 2 THEN '//cdn.example.com/y.js' WHEN 3 THEN '/rooted/./z/../w?x=../v' WHEN 4 THEN 'beside?k=v' WHEN 5 THEN '../up/./z/'
+  WHEN 6 THEN '?q=1' WHEN 7 THEN '#part' WHEN 8 THEN '../../../../top' WHEN 9 THEN 'httpdocs/x/..' WHEN 10 THEN 'mailto:a@b.example' ELSE '.' END"""
 
 
 @query(f"""
-SELECT page_id, CASE WHEN r = '' THEN '' WHEN starts_with(r, 'http') THEN r WHEN starts_with(r, '//') THEN 'https:' || r WHEN starts_with(r, '/') THEN o || r
-  ELSE CASE WHEN p = '' THEN o || '/' ELSE regexp_replace(o || p, '[^/]*$', '') END || r END AS absolute
-FROM (SELECT page_id, {_REF} AS r, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS o, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+SELECT page_id, CASE page_id % 12 WHEN 0 THEN '' WHEN 1 THEN r WHEN 2 THEN 'https:' || r WHEN 3 THEN o || '/rooted/w?x=../v' WHEN 4 THEN o || folder || r WHEN 5 THEN o || regexp_replace(folder, '[^/]+/$', '') || 'up/z/'
+  WHEN 6 THEN o || p || r WHEN 7 THEN regexp_replace(url, '#.*$', '') || r WHEN 8 THEN o || '/top' WHEN 9 THEN o || folder || 'httpdocs/' WHEN 10 THEN r ELSE o || folder END AS absolute
+FROM (SELECT *, CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END AS folder FROM (
+  SELECT page_id, url, {_REF} AS r, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS o, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages))
 """)
 def url_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_REF} AS r").select("page_id", U.absolutise(F.col("r"), F.col("url")).alias("absolute"))

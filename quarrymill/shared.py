@@ -1,4 +1,4 @@
-"""New paths in the folder that the driver and all executors see."""
+"""New paths, and tables that are read more than once, in the folder that the driver and all executors see."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -28,3 +28,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
     atexit.register(remove)
     return f"{top}/{name}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as Parquet into the shared folder and read again, for what is read more than once."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
