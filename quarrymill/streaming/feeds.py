@@ -1,14 +1,16 @@
-"""Streaming transforms. Each takes a streaming (or batch) DataFrame; ``drain`` runs one until its input is used up."""
+"""Streaming transforms. Each takes a streaming DataFrame; ``drain`` runs one until its input is used up."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.shared import fresh_path
+from quarrymill.streaming.ordered import Changes, in_order
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 20) -> DataFrame:
@@ -44,36 +46,55 @@ def deduplicated(events: DataFrame, key: str, late: str = "60 days") -> DataFram
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def state_changes(events: DataFrame, key: str, state: str, order: str) -> DataFrame:
-    """Only changes of a key's state, kept across triggers. Rows of a trigger are taken in their order."""
+def keyed(events: DataFrame, key: str, order: str, state: str, payload: str | None = None) -> DataFrame:
+    """What ordered state reads: ``(key, ts, order, state, payload)``."""
+    said = F.col(payload).cast("string") if payload else F.lit(None).cast("string")
+    return timed(events).select(F.col(key).alias("key"), "ts", F.col(order).cast("long").alias("order"), F.col(state).alias("state"), said.alias("payload"))
 
-    def changed(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        before = held.get[0] if held.exists else None
-        previous = rows[state].shift(1)
-        previous.iloc[0] = before
-        out = rows[(rows[state] != previous) | previous.isna()]
-        held.update((rows[state].iloc[-1],))
-        yield out[[order, key, state]].reset_index(drop=True)
 
-    types = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = f"{order} {types[order]}, {key} {types[key]}, {state} {types[state]}"
-    return events.groupBy(key).applyInPandasWithState(changed, schema, f"{state} {types[state]}", "append", "NoTimeout")
+def state_changes(events: DataFrame, key: str, state: str, order: str, late: str = "60 days", slot: timedelta = timedelta(days=1)) -> DataFrame:
+    """Only changes of a key's state, by the rows' times and not by the files that they come in."""
+    rule = Changes(events.schema[key].dataType.simpleString())
+    return in_order(keyed(events, key, order, state), rule, late, slot).select(F.col("order").alias(order), F.col("key").alias(key), F.col("state").alias(state))
 
 
-def drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State that doesn't have to fit into memory; timers and maps need it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame], None] | None = None, end: Callable[[], None] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Run a stream over what is there and return its rows, written as Parquet in the shared folder, or feed ``sink``.
 
-    The checkpoint, and with it the state, lies in the shared folder too. In complete mode each trigger overwrites the rows.
+    The checkpoint, and with it the state, lies in the shared folder too. ``end`` is called once all input is read; the
+    stream then goes on from its checkpoint with what that has brought (``with_end``: a row that lets all windows and slots
+    close). ``by`` are columns that the files are partitioned by. In complete mode each trigger overwrites the rows.
     """
     spark = stream.sparkSession
     path = fresh_path(spark, "feed")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
+
+    def run() -> None:
+        writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
+        if sink is not None:
+            writer = writer.foreachBatch(lambda df, _: sink(df))
+        elif mode == "append":
+            writer = writer.format("parquet").option("path", path).partitionBy(*by)
+        else:
+            writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+        writer.start().awaitTermination()
+
+    with _state_on_disk(spark):
+        run()
+        if end is not None:
+            end()
+            run()
     if sink is not None:
-        writer.foreachBatch(lambda df, _: sink(df)).start().awaitTermination()
         return spark.range(0).select()
-    if mode == "append":
-        writer.format("parquet").start(path).awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
