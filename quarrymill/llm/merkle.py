@@ -95,19 +95,22 @@ def _up(fanout: int):
     return run
 
 
-def _down(fanout: int, names: list[str]):
+def _down(fanout: int, names: list[str], checked: bool):
     def run(key: tuple, block: pa.Table, above: pa.Table) -> pa.Table:
         block = block.sort_by("at")
         matrices = _matrices(block, fanout)
         (up,) = above.to_pylist()
         own = [siblings_of(i, matrices, fanout) for i in range(block.num_rows)]
-        found = {
+        found: dict = {
             "places": pa.array([p + up["places"] for p, _, _ in own], pa.list_(pa.int32())),
             "others": pa.array([o + up["others"] for _, o, _ in own], pa.list_(pa.int32())),
             "siblings": [s.decode() + up["siblings"] for _, _, s in own],
             "subroot": pa.array([up["subroot"]] * block.num_rows, pa.string()),
             "root": pa.array([up["root"]] * block.num_rows, pa.string()),
         }
+        if checked:
+            leaves = zip(block["checked"].to_pylist(), found["places"].to_pylist(), found["others"].to_pylist(), found["siblings"])
+            found["folded_root"] = pa.array([None if x[0] is None else fold(*x) for x in leaves], pa.string())
         return pa.table({n: block[n] for n in names} | found)
 
     return run
@@ -131,33 +134,36 @@ def _paths(rounds: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame:
         ended = tops.join(nodes.filter("n = 1").select("tree"), "tree", "left_semi")
         above = ended if found is None else ended.unionByName(found.select(ended.columns))
         names = [c for c in nodes.columns if c != "n"]
-        schema = ", ".join([*(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in names), *_PATH.split(", ")[2:]])
+        checked = "checked" in names
+        schema = ", ".join([*(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in names), *_PATH.split(", ")[2:], *["folded_root string"] * checked])
         blocks = nodes.groupBy("tree", F.expr(f"at div {size}").alias("block"))
         above = above.select(F.col("tree").alias("to_tree"), F.col("at").alias("to_block"), *above.columns[2:])
-        found = blocks.cogroup(above.groupBy("to_tree", "to_block")).applyInArrow(_down(fanout, names), schema)
+        found = blocks.cogroup(above.groupBy("to_tree", "to_block")).applyInArrow(_down(fanout, names, checked), schema)
         if k:
             found = written(found, "paths")
     return found
 
 
-def manifest(leaves: DataFrame, tree_col: str = "source", id_col: str = "doc_id", leaf_col: str = "leaf", fanout: int = 16) -> DataFrame:
+def manifest(leaves: DataFrame, tree_col: str = "source", id_col: str = "doc_id", leaf_col: str = "leaf", fanout: int = 16, checked_col: str | None = None) -> DataFrame:
     """The rows of ``leaves`` with ``places``, ``others``, ``siblings``, ``subroot`` and ``root``: each leaf's proof, from its tree to the root.
 
     ``siblings`` has the digests of all levels, from the leaf's own up, left to right; ``others`` says how many belong to
-    a level and ``places`` how many of these stand before the node itself.
+    a level and ``places`` how many of these stand before the node itself. With ``checked_col``, digests that stand where
+    the leaves did, ``folded_root`` is the root that they and the leaves' siblings lead to, in the same pass.
     """
+    check = [leaves[checked_col].alias("checked")] if checked_col else []
     # A null tree sorts before all others, the empty name among them.
     tree = F.coalesce(F.concat(F.lit("="), leaves[tree_col]), F.lit(""))
-    rows = leaves.select(tree.alias("tree"), leaves[id_col].alias("id"), leaves[leaf_col].alias("digest"), F.struct("*").alias("own"))
+    rows = leaves.select(tree.alias("tree"), leaves[id_col].alias("id"), leaves[leaf_col].alias("digest"), *check, F.struct("*").alias("own"))
     placed = with_places(rows, "tree", ["id", "digest"], "leaves")
-    rounds = _rounds(placed.select("tree", "at", "n", "digest", "own"), fanout)
+    rounds = _rounds(placed.select("tree", "at", "n", "digest", *["checked"] * len(check), "own"), fanout)
     subroots = reduce(DataFrame.unionByName, [r.filter("n = 1").select("tree", "digest") for r in rounds])
     trees = with_places(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "tree", ["name"], "trees")
     upper = _rounds(trees.select("tree", "at", "n", "digest", "name"), fanout)
     nothing = F.array().cast("array<int>")
     top = upper[-1].select("tree", "at", nothing.alias("places"), nothing.alias("others"), F.lit("").alias("siblings"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     tops = _paths(upper, top, fanout).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("at"), "places", "others", "siblings", F.col("digest").alias("subroot"), "root")
-    return _paths(rounds, written(tops, "tops"), fanout).select("own.*", "places", "others", "siblings", "subroot", "root")
+    return _paths(rounds, written(tops, "tops"), fanout).select("own.*", "places", "others", "siblings", "subroot", "root", *["folded_root"] * len(check))
 
 
 def folded_root(proofs: DataFrame, leaf_col: str, into: str = "folded_root") -> DataFrame:

@@ -14,7 +14,7 @@ from .decontaminate import contamination
 from .divergence import divergence
 from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_scan
 from .main_text import extract_main_text
-from .merkle import folded_root, leaf_digest, manifest
+from .merkle import leaf_digest, manifest
 from .mixing import plan_mix
 from .piecewise import next_likeness
 from .quality import features, fit_on_labels, held_out, score
@@ -99,8 +99,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, lowered = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     leaves = docs.select("doc_id", "source", leaf_digest(*before, F.col("text")).alias("leaf"), F.when(tampered, leaf_digest(*before, lowered)).alias("altered"))
-    proofs = manifest(written(leaves, "leaf_digests")).withColumn("altered", F.coalesce("altered", "leaf"))
-    told = folded_root(proofs, "altered")
+    told = manifest(written(leaves.withColumn("altered", F.coalesce("altered", "leaf")), "leaf_digests"), checked_col="altered")
     return told.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 

@@ -236,6 +236,8 @@ def test_op13_trees_of_many_sizes(spark, fanout, sizes):
     told = folded_root(manifest(leaves, fanout=fanout), "leaf")
     assert told.filter("folded_root <> root").count() == 0
     assert folded_root(manifest(leaves, fanout=fanout).withColumn("bad", F.sha2("leaf", 256)), "bad").filter("folded_root = root").count() == 0
+    one_pass = manifest(leaves.withColumn("bad", F.when(F.col("doc_id") % 2 == 0, F.sha2("leaf", 256)).otherwise(F.col("leaf"))), fanout=fanout, checked_col="bad")
+    assert one_pass.filter((F.col("folded_root") == F.col("root")) != (F.col("doc_id") % 2 == 1)).count() == 0
     assert LEVELS == 2
 
 
