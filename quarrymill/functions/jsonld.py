@@ -110,3 +110,11 @@ def longest_tag(tags: Column, prefix: str = "cat:") -> Column:
 def summary(v: Column, keys: int = 15) -> Column:
     fields = F.array_join(F.slice(F.json_object_keys(F.to_json(v)), 1, keys), ", ")
     return F.concat_ws(" / ", F.array_join(types(v), ","), fields, F.when(has_price(v), "offers with price").otherwise("no price"))
+
+
+def any_case(v: Column, *names: str) -> Column:
+    """The text at a path whose keys are written with a capital or without: at each step the capitalised one first, if it isn't empty."""
+    paths = ["$"]
+    for n in names:
+        paths = [f"{p}.{k}" for p in paths for k in (n[:1].upper() + n[1:], n)]
+    return F.coalesce(*[F.nullif(text(v, p), F.lit("")) for p in paths], F.lit(""))

@@ -114,6 +114,50 @@ def delete_cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFra
 
 
 def merge_output(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """New values where they are not empty, the old ones otherwise."""
-    n = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    return old.join(n, key, "left").withColumns({c: F.coalesce(F.nullif(f"_{c}", F.lit("")), c) for c in columns}).drop(*[f"_{c}" for c in columns])
+    """New values where they are not empty, the old ones otherwise. Of several new rows of a key each column takes the largest value."""
+    n = new.groupBy(key).agg(*[F.max(F.nullif(c, F.lit(""))).alias(f"_{c}") for c in columns])
+    return old.join(n, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def fail_stuck(jobs: DataFrame, steps: DataFrame, logs: DataFrame, as_of: str, idle_minutes: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(jobs, steps, messages)`` after the watchdog: running jobs that were silent for too long fail, and with them their open steps.
+
+    ``jobs`` (job, status, started_at, completed_at, error_message) and ``steps`` (job, status, completed_at) are rebuilt as
+    a whole, so that a second run finds nothing to do; ``messages`` (job, status) are what is to be told of it.
+    """
+    stuck = stuck_jobs(jobs.filter("status = 'running'").select("job", "started_at"), logs, as_of, idle_minutes).select("job", F.col("idle_minutes").alias("_idle"))
+    now, failed = F.lit(as_of).cast("timestamp"), F.col("_idle").isNotNull()
+    said = F.format_string("Worker process crashed (no activity for %d min). Likely OOM killed.", "_idle")
+    marked = jobs.join(stuck, "job", "left")
+    new_jobs = marked.withColumns({"status": F.when(failed, "failed").otherwise(F.col("status")), "completed_at": F.when(failed, now).otherwise(F.col("completed_at")), "error_message": F.when(failed, said).otherwise(F.col("error_message"))})
+    open_step = failed & F.col("status").isin("running", "pending")
+    new_steps = steps.join(stuck, "job", "left").withColumns({"completed_at": F.when(open_step, now).otherwise(F.col("completed_at")), "status": F.when(open_step, "failed").otherwise(F.col("status"))})
+    return new_jobs.select(*jobs.columns), new_steps.select(*steps.columns), stuck.select("job", F.lit("failed").alias("status"))
+
+
+def auto_approve(approvals: DataFrame, jobs: DataFrame, as_of: str, minutes: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``(approvals, resumed)``: approvals that waited too long for jobs that were queued by the machine are given; ``resumed`` are their jobs.
+
+    ``approvals`` (approval, job, status, created_at, human_response, resolved_at) is rebuilt as a whole.
+    """
+    waiting = jobs.filter("status = 'waiting_approval' AND auto_queued").select("job", F.lit(True).alias("_waits"))
+    now = F.lit(as_of).cast("timestamp")
+    due = F.coalesce("_waits", F.lit(False)) & (F.col("status") == "pending") & (F.col("created_at") < now - F.expr(f"INTERVAL {minutes} MINUTES"))
+    marked = approvals.join(waiting, "job", "left").withColumn("_due", F.coalesce(due, F.lit(False)))
+    given = {"status": F.when(F.col("_due"), "approved").otherwise(F.col("status")), "human_response": F.when(F.col("_due"), "auto-approved").otherwise(F.col("human_response")), "resolved_at": F.when(F.col("_due"), now).otherwise(F.col("resolved_at"))}
+    return marked.withColumns(given).select(*approvals.columns), marked.filter("_due").select("job").distinct()
+
+
+def issue_summary(issues: DataFrame, job: str, order: Sequence[str], shown: dict[str, int] | None = None) -> DataFrame:
+    """``(job, severity, n, first)``: issues of each severity and the first few, five high and three medium ones.
+
+    Counts merge before the shuffle; the first few are cut by rank before it as well, so that no severity of a job is sorted as a whole.
+    """
+    shown = shown or {"high": 5, "medium": 3}
+    own = issues.filter(F.col("severity").isin(*shown))
+    counts = own.groupBy(job, "severity").agg(F.count("*").alias("n"))
+    limit = F.coalesce(*[F.when(F.col("severity") == s, k) for s, k in shown.items()])
+    place = F.row_number().over(Window.partitionBy(job, "severity").orderBy(*order))
+    top = own.withColumn("_place", place).filter(F.col("_place") <= max(shown.values())).filter(F.col("_place") <= limit)
+    first = top.groupBy(job, "severity").agg(F.array_sort(F.collect_list(F.struct("_place", "description"))).alias("f"))
+    return counts.join(first, [job, "severity"]).select(job, "severity", "n", F.transform("f", lambda x: x["description"]).alias("first"))

@@ -126,6 +126,34 @@ def pages_until_nothing_new(listing: DataFrame) -> DataFrame:
     return first.join(stop, "site", "left").filter("stop IS NULL OR page_no < stop").drop("stop")
 
 
+def accumulated(listing: DataFrame, totals: DataFrame, most_empty: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``listing`` (site, round, href, scrolled) and ``totals`` (site, total; null: unknown) to links and an account.
+
+    Rounds add what was not seen before. A site stops after the first round that reaches its total, that brings nothing
+    new without having been scrolled to, or that is the last of ``most_empty`` scrolled rounds in a row without news. Links are ``(site, href, round)``
+    of the rounds up to there; the account has ``(site, rounds, links, stopped)`` with the rule that decided. A round
+    without any link is a row with a null href.
+    """
+    first = listing.filter("href IS NOT NULL").groupBy("site", "href").agg(F.min("round").alias("round"))
+    added = first.groupBy("site", "round").agg(F.count("*").alias("added"))
+    rounds = listing.groupBy("site", "round").agg(F.max("scrolled").alias("scrolled")).join(added, ["site", "round"], "left").join(totals, "site", "left")
+    order = Window.partitionBy("site").orderBy("round")
+    news = F.coalesce("added", F.lit(0))
+    # Rounds without news that follow each other are an island: as many rounds with news lie before them.
+    marked = rounds.withColumn("so_far", F.sum(news).over(order)).withColumn("island", F.sum(F.when(news > 0, 1).otherwise(0)).over(order)).withColumn("added", news)
+    streak = F.sum(F.when(F.col("added") == 0, 1).otherwise(0)).over(Window.partitionBy("site", "island").orderBy("round"))
+    rule = (
+        F.when(F.col("total") <= F.col("so_far"), "total")
+        .when((F.col("added") == 0) & ~F.col("scrolled"), "nothing_new")
+        .when((F.col("added") == 0) & (F.col("streak") >= most_empty), "empty_rounds")
+    )
+    told = marked.withColumn("streak", streak).withColumn("rule", rule)
+    stops = told.filter("rule IS NOT NULL").groupBy("site").agg(F.min("round").alias("stop"), F.min_by("rule", "round").alias("stopped"))
+    held = told.join(stops, "site", "left").filter("stop IS NULL OR round <= stop")
+    account = held.groupBy("site").agg(F.count("*").alias("rounds"), F.sum("added").alias("links"), F.coalesce(F.any_value("stopped", True), F.lit("end")).alias("stopped"))
+    return first.join(stops, "site", "left").filter("stop IS NULL OR round <= stop").select("site", "href", "round"), account
+
+
 def pagination_kind(html: Column) -> Column:
     """How a list goes on: a next link, inside a load-more part or not, then page numbers, then a load-more button.
 

@@ -117,16 +117,22 @@ _AMOUNT = f"CASE {K} % 4 WHEN 0 THEN '1,234' WHEN 1 THEN 'ask' ELSE '' || {K} EN
 _CENTS = f"CASE {K} % 3 WHEN 0 THEN '.99' WHEN 1 THEN '5' ELSE '' END"
 
 
+#: Thousands apart by commas.
+_WHOLE = "regexp_replace(reverse(regexp_replace(reverse(CAST(floor(p_retailprice * 7) AS BIGINT)::VARCHAR), '([0-9]{3})', '\\1,', 'g')), '^,', '')"
+
+
 @query(f"""
-SELECT {K}, CASE WHEN coalesce(p, '') = '' AND o <> '' THEN o ELSE coalesce(p, '') END AS price, CASE WHEN coalesce(p, '') = '' AND o <> '' THEN '' ELSE o END AS original,
-  CASE {K} % 4 WHEN 1 THEN '' WHEN 0 THEN '$1,234' ELSE '$' || {K} END || CASE WHEN {K} % 4 = 1 THEN '' ELSE CASE {K} % 3 WHEN 0 THEN '.99' WHEN 1 THEN '.05' ELSE '.00' END END AS assembled, CASE WHEN {K} % 2 = 0 THEN 'In Stock' ELSE 'Out of Stock' END AS availability
-FROM (SELECT {K}, {_PRICE} AS p, {_ORIGINAL} AS o FROM part) WHERE {K} < 1000 OR {K} % 4 < 2
+SELECT {K}, CASE WHEN p = '' AND o <> '' THEN o ELSE p END AS price, CASE WHEN p = '' AND o <> '' THEN '' ELSE o END AS original,
+  CASE p_type WHEN 'PROMO' THEN '' ELSE '$' || {_WHOLE} || '.' || CASE WHEN p_size >= 10 THEN p_size::VARCHAR WHEN p_size > 5 THEN '0' || p_size ELSE '00' END END AS assembled, CASE WHEN p_size > 25 THEN 'In Stock' ELSE 'Out of Stock' END AS availability
+FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN '' ELSE '$' || p_size || '.00' END AS p, CASE WHEN p_brand > 'Brand#2' THEN '$' || (p_size + 9) || '.00' ELSE '' END AS o FROM part)
 """)
 def norm_price_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thousands separators are left out of the check: prices of numbers from 1000 on are those of '1,234' alone."""
-    p = parts(spark, sf_dir, p=_PRICE, o=_ORIGINAL, a=_AMOUNT, c=_CENTS).filter(f"{K} < 1000 OR {K} % 4 < 2")
-    price, original = N.promoted_price(F.col("p"), F.col("o"))
-    return p.select(K, price.alias("price"), original.alias("original"), N.amount_with_cents(F.col("a"), F.col("c")).alias("assembled"), N.availability_flag(F.expr(f"{K} % 2 = 0")).alias("availability"))
+    """Prices from sizes and brands, whole amounts with and without thousands and cents from retail prices and sizes."""
+    e = F.expr
+    price, original = N.promoted_price(e("CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('$', p_size, '.00') END"), e("CASE WHEN p_brand > 'Brand#2' THEN concat('$', p_size + 9, '.00') ELSE '' END"))
+    whole = e("CASE p_type WHEN 'PROMO' THEN 'ask' ELSE CAST(CAST(floor(p_retailprice * 7) AS BIGINT) AS STRING) END")
+    cents = e("CASE WHEN p_size > 5 THEN concat('.', p_size) ELSE '' END")
+    return table(spark, sf_dir, "part").select(K, price.alias("price"), original.alias("original"), N.amount_with_cents(whole, cents).alias("assembled"), N.availability_flag(e("p_size > 25")).alias("availability"))
 
 
 @query(f"""

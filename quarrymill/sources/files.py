@@ -63,10 +63,34 @@ def parse_artifact(raw: Column) -> Column:
 
 
 def embedded_json(raw: Column) -> Column:
-    """The JSON under a ``### Result`` heading, else from the first to the last brace."""
+    """The JSON under a ``### Result`` heading, also where it is text in quotes, else the first object that the text holds.
+
+    An object is tried at every opening brace in turn, with strings and escapes as JSON has them, so that braces in prose and in
+    strings do no harm.
+    """
+
+    @F.pandas_udf("string")
+    def first_object(texts):
+        import json
+
+        decoder = json.JSONDecoder()
+
+        def found(text):
+            at = text.find("{") if text else -1
+            while at >= 0:
+                try:
+                    return text[at : decoder.raw_decode(text, at)[1]]
+                except (ValueError, RecursionError):
+                    at = text.find("{", at + 1)
+            return None
+
+        return texts.map(found)
+
     headed = F.regexp_extract(raw, r"(?s)###\s*Result\s*\n(?:```(?:json)?\s*\n)?(.*?)(?:\n```|\n###|\z)", 1)
-    braced = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.try_parse_json(headed), F.try_parse_json(braced))
+    whole = F.try_parse_json(F.regexp_replace(headed, r"^\s+|\s+$", ""))
+    quoted = F.try_parse_json(F.when(F.schema_of_variant(whole) == "STRING", F.try_variant_get(whole, "$", "string")))
+    plain = F.when(F.schema_of_variant(whole) != "STRING", whole)
+    return F.coalesce(quoted, plain, F.try_parse_json(first_object(raw)))
 
 
 def search_text(spark: SparkSession, path: str, pattern: str) -> DataFrame:
