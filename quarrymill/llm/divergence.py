@@ -2,13 +2,14 @@
 
 The terms of a language that are in at least ``MIN_DOCS`` of its documents are kept. Each kept term is one row with a wide
 vector: its counts in the sources of the language, pivoted into an array that is indexed by source. Higher-order functions
-turn a vector into the contributions of pairs of sources, which aggregation sums before the shuffle. Where a term is in
-neither source of a pair, its contribution is the same for all such terms; a vector emits only for pairs with a source
-that has the term, and the rest comes from the number of terms left over. So the work follows the counts that there are.
+turn a vector into the contributions of the pairs of sources that have the term, which aggregation sums before the
+shuffle. Terms that only one source of a pair has are summed by that source and their count, as the other's share is the
+same for all of them. So the work follows the counts that there are, not terms times pairs.
 
 With ``N`` the occurrences of kept terms in a group and ``V`` the number of kept terms, a term's share is
 ``p = 1 + floor(SCALE * (count + 1) / (N + V))``; a source against another or against the language differs by the sum of
-``floor((p - q)^2 / q)``. All of it is integer arithmetic; counts are scaled as decimals, which hold for any count.
+``floor((p - q)^2 / q)``. All of it is integer arithmetic; counts that are too large for a long are
+scaled as decimals.
 
 Defined results: null texts, languages and sources are read as empty ones; a document without terms still makes its
 group; very long texts are counted whole; repeated rows count each; terms of equal value are ranked by their UTF-8 bytes;
@@ -28,14 +29,19 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x60\x7B-\x7F]+"
 
 
+def folded(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; texts without other capital letters take the faster way."""
+    others = text.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]")
+    return F.when(others, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``(lang, source, term, n, n_docs)``: occurrences of a term in a group and the documents with it.
 
     A text gives its words and its distinct words, so that both numbers come from one pass and one aggregation.
     """
-    empty = F.lit("")
-    words = F.split(F.translate(F.coalesce(docs[text_col], empty), _UPPER, _LOWER), _BREAK)
-    texts = docs.select(F.coalesce(docs[lang_col], empty).alias("lang"), F.coalesce(docs[source_col], empty).alias("source"), words.alias("words"))
+    texts = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    texts = texts.select("lang", "source", F.split(folded(F.col("text")), _BREAK).alias("words"))
     both = texts.select("lang", "source", F.posexplode(F.array("words", F.array_distinct("words"))).alias("once", "words"))
     each = both.select("lang", "source", "once", F.explode("words").alias("term")).filter("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("n_docs"))
@@ -48,9 +54,14 @@ def groups(docs: DataFrame, lang_col: str = "lang", source_col: str = "source")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(SCALE * (count + 1) / (total + terms))`` as a long, null where there are no terms."""
-    above = (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.lit(1).cast("long") + F.when(terms > 0, F.call_function("div", above, (total + terms).cast("decimal(20,0)")))
+    """``1 + floor(SCALE * (count + 1) / (total + terms))`` as a long, null where there are no terms.
+
+    Counts that would leave a long when they are scaled are divided as decimals.
+    """
+    whole = total + terms
+    plain = F.call_function("div", (count + 1) * F.lit(SCALE).cast("long"), whole)
+    wide = F.call_function("div", (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), whole.cast("decimal(20,0)"))
+    return F.lit(1).cast("long") + F.when(terms > 0, F.when(count < 9_000_000_000, plain).otherwise(wide))
 
 
 def difference(p: Column, q: Column) -> Column:
@@ -64,48 +75,65 @@ def kept_terms(counts: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS) ->
 
 
 def language_totals(kept: DataFrame, index: DataFrame) -> DataFrame:
-    """``(lang, sources, totals, total, n_terms)``: names and occurrences of kept terms, both indexed by source."""
+    """``(lang, sources, totals, total, n_terms, absent)``: names, occurrences of kept terms and shares of a term that is
+    absent, all indexed by source."""
     each = kept.select("lang", F.explode("cells").alias("cell")).groupBy("lang", F.col("cell.i").alias("i")).agg(F.sum("cell.n").alias("total"))
     by_source = index.join(each, ["lang", "i"], "left").select("lang", F.struct("i", "source", F.coalesce("total", F.lit(0)).alias("total")).alias("g"))
     vectors = by_source.groupBy("lang").agg(F.array_sort(F.collect_list("g")).alias("g"), F.sum("g.total").alias("total"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
-    return vectors.join(terms, "lang", "left").select("lang", F.col("g.source").alias("sources"), F.col("g.total").alias("totals"), "total", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    per = vectors.join(terms, "lang", "left").select("lang", F.col("g.source").alias("sources"), F.col("g.total").alias("totals"), "total", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    return per.withColumn("absent", F.transform("totals", lambda t: share(F.lit(0), t, F.col("n_terms"))))
 
 
 def wide_vectors(kept: DataFrame, totals: DataFrame) -> DataFrame:
-    """Each kept term with ``counts`` and ``shares``, arrays indexed by the sources of its language."""
-    held = F.map_from_entries("cells")
-    wide = kept.join(totals, "lang").withColumn("counts", F.transform("totals", lambda _, i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("long"))))
-    return wide.withColumn("shares", F.transform("counts", lambda c, i: share(c, F.get("totals", i), F.col("n_terms"))))
+    """Each kept term with ``shares``, an array indexed by the sources of its language; those without the term have their absent share."""
+    own = F.transform("cells", lambda c: F.struct(c["i"], share(c["n"], F.get("totals", c["i"]), F.col("n_terms"))))
+    held = kept.join(totals, "lang").withColumn("held", F.map_from_entries(own))
+    return held.withColumn("shares", F.transform("absent", lambda z, i: F.coalesce(F.try_element_at("held", i), z))).drop("held")
 
 
-def pair_sums(wide: DataFrame) -> DataFrame:
-    """``(lang, i, j, value, n)``: the contributions of terms that source i or source j has, and how many these are."""
-    places = F.sequence(F.lit(0), F.size("counts") - 1)
+def _gap(p: str, q: str) -> Column:
+    return difference(F.col(p), F.col(q))
 
-    def part(i: Column, j: Column) -> Column:
-        return F.struct(i.alias("i"), j.alias("j"), difference(F.get("shares", i), F.get("shares", j)).alias("f"))
 
-    def with_others(i: Column) -> Column:
-        others = F.filter(places, lambda j: j != i)
-        own = F.transform(others, lambda j: part(i, j))
-        # The other way round only where the other source lacks the term: else it emits this pair itself.
-        return F.concat(own, F.transform(F.filter(others, lambda j: F.get("counts", j) == 0), lambda j: part(j, i)))
+def pair_sums(wide: DataFrame) -> DataFrame:
+    """``(lang, i, j, value)``: what terms that both sources have add to what they would add if one of them or both lacked them.
 
-    parts = F.flatten(F.transform(F.filter(places, lambda i: F.get("counts", i) > 0), with_others))
-    return wide.select("lang", F.inline(parts)).groupBy("lang", "i", "j").agg(F.sum("f").alias("value"), F.count("*").alias("n"))
+    A vector emits each source that has the term with all others that have it; the value of a pair is read off the vector
+    once it is a row, in compiled code.
+    """
+    there = F.transform("cells", lambda c: c["i"])
+    emitted = F.transform("there", lambda i: F.struct(i.alias("i"), F.filter("there", lambda j: j != i).alias("others")))
+    held = wide.filter(F.size("cells") > 1).withColumn("there", there)
+    each = held.select("lang", "shares", "absent", F.inline(emitted)).select("lang", "shares", "absent", "i", F.explode("others").alias("j"))
+    p, q, no_p, no_q = (F.get(v, F.col(k)) for v, k in (("shares", "i"), ("shares", "j"), ("absent", "i"), ("absent", "j")))
+    value = difference(p, q) - difference(p, no_q) - difference(no_p, q) + difference(no_p, no_q)
+    return each.select("lang", "i", "j", value.alias("f")).groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
 
 
 def pair_divergence(wide: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(lang, source, other, value)`` for every two sources of a language."""
+    """``(lang, source, other, value)`` for every two sources of a language.
+
+    Terms that a source has with equal counts add the same wherever the other source lacks them, so that they are taken
+    together by count; ``pair_sums`` puts those right that the other source has too.
+    """
     terms = F.col("n_terms")
-    side = totals.select("lang", "n_terms", F.arrays_zip("sources", F.transform("totals", lambda t: share(F.lit(0), t, terms)).alias("absent")).alias("all"))
-    one = side.select("lang", "n_terms", "all", F.posexplode("all").alias("i", "a"))
-    pairs = one.select("lang", "n_terms", "i", "a", F.posexplode("all").alias("j", "b")).filter("i <> j")
-    summed = pairs.join(pair_sums(wide), ["lang", "i", "j"], "left")
-    rest = (terms - F.coalesce("n", F.lit(0))) * difference(F.col("a.absent"), F.col("b.absent"))
-    value = F.coalesce(F.coalesce("value", F.lit(0)) + rest, F.lit(0))
-    return summed.select("lang", F.col("a.sources").alias("source"), F.col("b.sources").alias("other"), value.cast("long").alias("value"))
+    one = totals.select("lang", "n_terms", "sources", "totals", "absent", F.posexplode("sources").alias("i", "source"))
+    pairs = one.select("lang", "n_terms", "absent", "i", "source", F.posexplode("sources").alias("j", "other")).filter("i <> j")
+    pairs = pairs.select("lang", "n_terms", "i", "j", "source", "other", F.get("absent", F.col("i")).alias("no_p"), F.get("absent", F.col("j")).alias("no_q"))
+
+    cell = wide.select("lang", F.explode("cells").alias("cell"), "shares")
+    counted = cell.groupBy("lang", F.col("cell.i").alias("k"), F.get("shares", F.col("cell.i")).alias("p")).agg(F.count("*").alias("m"))
+    sides = counted.join(totals.select("lang", "absent"), "lang").select("lang", "k", "m", "p", F.get("absent", F.col("k")).alias("no_k"), F.posexplode("absent").alias("o", "no_o")).filter("k <> o")
+    alone = sides.groupBy("lang", "k", "o").agg(F.sum("m").alias("m"), F.sum(F.col("m") * _gap("p", "no_o")).alias("up"), F.sum(F.col("m") * _gap("no_o", "p")).alias("down"))
+    # As the first source of a pair and as the second.
+    first = alone.select("lang", F.col("k").alias("i"), F.col("o").alias("j"), F.col("m").alias("m_i"), "up")
+    second = alone.select("lang", F.col("o").alias("i"), F.col("k").alias("j"), F.col("m").alias("m_j"), "down")
+    full = pairs.join(first, ["lang", "i", "j"], "left").join(second, ["lang", "i", "j"], "left").join(pair_sums(wide), ["lang", "i", "j"], "left")
+    none = F.lit(0).cast("long")
+    neither = terms - F.coalesce("m_i", none) - F.coalesce("m_j", none)
+    value = F.coalesce("up", none) + F.coalesce("down", none) + F.coalesce("value", none) + F.coalesce(neither * _gap("no_p", "no_q"), none)
+    return full.select("lang", "source", "other", value.alias("value"))
 
 
 def marked_terms(wide: DataFrame) -> DataFrame:
