@@ -27,11 +27,11 @@ def body_text(html: Column, limit: int = 1500) -> Column:
 def meta_map(html: Column) -> Column:
     """Meta tags with ``name`` or ``property`` before ``content``, lower-cased names; the last of a name wins."""
     pattern = r"""(?i)<meta\s+(?:property|name)\s*=\s*["']([^"']*)["']\s+content\s*=\s*["']([^"']*)["']"""
-    names = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    pairs = F.transform(names, lambda n, i: F.struct(n.alias("k"), F.get(values, i).alias("v"), i.alias("i")))
-    last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    # Backwards, so that the first place of a name is its last tag.
+    names = F.reverse(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lower))
+    values = F.reverse(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)))
+    keys = F.array_distinct(names)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(values, (F.array_position(names, k) - 1).cast("int"))))
 
 
 def og_tags(html: Column, limit: int = 200) -> Column:
@@ -113,3 +113,10 @@ SELECTORS = {
 
 def selector_counts(html: Column) -> dict[str, Column]:
     return {name: F.regexp_count(html, F.lit("(?i)" + pattern)) for name, pattern in SELECTORS.items()}
+
+
+def title_before(text: Column, brand: str) -> Column:
+    """A title up to the brand, else up to the first bar or long dash."""
+    said = F.coalesce(text, F.lit(""))
+    at = F.locate(f" {brand}", said)
+    return strip(F.when(at > 0, F.substring(said, F.lit(1), at - 1)).otherwise(F.substring_index(F.substring_index(said, "|", 1), "\u2014", 1)))

@@ -118,3 +118,34 @@ def any_case(v: Column, *names: str) -> Column:
     for n in names:
         paths = [f"{p}.{k}" for p in paths for k in (n[:1].upper() + n[1:], n)]
     return F.coalesce(*[F.nullif(text(v, p), F.lit("")) for p in paths], F.lit(""))
+
+
+def wrapped_blocks(blocks_: DataFrame, by: str = "page_id") -> DataFrame:
+    """``(by, product, rating, review)``: the first product, and the first rating and review, in an object of that key or by type.
+
+    Only the first object of a block counts: a product, else a rating's or review's key, else the type.
+    """
+    place, v = F.struct("script_pos", "item_pos"), F.col("block")
+    kind = F.coalesce(text(v, '$["@type"]'), F.lit(""))
+    inner = {k: F.try_variant_get(v, f"$.{k}", "variant") for k in ("aggregateRating", "review")}
+    role = F.when(kind == "Product", "product").when(inner["aggregateRating"].isNotNull(), "rating").when(inner["review"].isNotNull(), "review").when(kind == "AggregateRating", "rating").when(kind == "Review", "review")
+    found = blocks_.select(by, place.alias("place"), role.alias("role"), F.when(role == "rating", F.coalesce(inner["aggregateRating"], v)).when(role == "review", F.coalesce(inner["review"], v)).otherwise(v).alias("value"))
+    good = found.filter(is_object(F.col("value")))
+    return good.groupBy(by).agg(*[F.min_by(F.when(F.col("role") == r, F.col("value")), F.when(F.col("role") == r, F.col("place"))).alias(r) for r in ("product", "rating", "review")])
+
+
+def category_path(v: Column, key: str = "category") -> Column:
+    """A category, or the names of a list of them that aren't empty, by ``" > "``."""
+    listed = F.transform(elements(v, f"$.{key}"), lambda x: F.coalesce(text(x, "$"), F.lit("")))
+    return F.coalesce(F.array_join(F.filter(listed, truthy), " > "), text(v, f"$.{key}"), F.lit(""))
+
+
+def variant_of(v: Column, wanted: Column) -> Column:
+    """The variant with the wanted id, else the first; null without any."""
+    all_of = elements(v, "$.variants")
+    return F.coalesce(F.get(F.filter(all_of, lambda x: text(x, "$.id") == wanted), F.lit(0)), F.get(all_of, F.lit(0)))
+
+
+def first_items(v: Column, own: str, keys: Sequence[str] = ("products", "articles", "jobs", "threads", "results", "pages")) -> Column:
+    """The items under a document's own key, else under the first of the known ones that has any; null without."""
+    return F.coalesce(*[F.when(F.size(elements(v, f"$.{k}")) > 0, elements(v, f"$.{k}")) for k in (own, *keys)])

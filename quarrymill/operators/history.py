@@ -161,3 +161,31 @@ def issue_summary(issues: DataFrame, job: str, order: Sequence[str], shown: dict
     top = own.withColumn("_place", place).filter(F.col("_place") <= max(shown.values())).filter(F.col("_place") <= limit)
     first = top.groupBy(job, "severity").agg(F.array_sort(F.collect_list(F.struct("_place", "description"))).alias("f"))
     return counts.join(first, [job, "severity"]).select(job, "severity", "n", F.transform("f", lambda x: x["description"]).alias("first"))
+
+
+def duration_seconds(started: Column, completed: Column) -> Column:
+    """Seconds between two times; 0 if one of them isn't there."""
+    return F.coalesce((F.unix_micros(completed) - F.unix_micros(started)) / 1_000_000, F.lit(0.0))
+
+
+def faceted(rows: DataFrame, facets: dict[str, object], term: str = "", searched: Sequence[str] = ()) -> DataFrame:
+    """Rows with all of the facets' values and, if there is a term, that hold it in one of the searched columns in any case."""
+    for column, value in facets.items():
+        rows = rows.filter(F.col(column) == value)
+    if term:
+        hits = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(term.lower())) for c in searched]
+        rows = rows.filter(F.greatest(*hits) if len(hits) > 1 else hits[0])
+    return rows
+
+
+def progress(rows: DataFrame, job: str, order: Sequence[str], every: int = 25) -> DataFrame:
+    """``(job, done, total, percent)``: a mark after every so many of a job's rows and after its last."""
+    place = F.row_number().over(Window.partitionBy(job).orderBy(*order))
+    totals = rows.groupBy(job).agg(F.count("*").alias("total"))
+    marks = rows.select(job, place.cast("long").alias("done")).join(totals, job).filter((F.col("done") % every == 0) | (F.col("done") == F.col("total")))
+    return marks.select(job, "done", "total", F.floor(100 * F.col("done") / F.col("total")).alias("percent"))
+
+
+def fresh(saved_at: Column, as_of: str, hours: int = 4) -> Column:
+    """Whether what was saved then is no older than so many hours."""
+    return F.coalesce(F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS") <= saved_at, F.lit(False))

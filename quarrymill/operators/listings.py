@@ -121,3 +121,24 @@ def grid_links(pages: DataFrame, levels: int = 4) -> DataFrame:
     nearest = above.groupBy("page_id", "node").agg(F.max_by("cls", "up").alias("parent"))
     grouped = links.join(nearest, ["page_id", "node"], "left").select("page_id", F.coalesce("parent", F.lit("no-class")).alias("parent"), "href", "text", F.col("node").alias("pos"))
     return largest_grid(grouped)
+
+
+# What marks a product as on sale.
+ON_SALE = ".main-details .price .sale, .main-details .price.on-sale, .main-details .dont-pay"
+
+
+def on_sale(pages: DataFrame) -> DataFrame:
+    """``(page_id, on_sale)`` of every page."""
+    marked = pick(pages, [ON_SALE], ["page_id"]).select("page_id").distinct().withColumn("on_sale", F.lit(True))
+    return pages.select("page_id").join(marked, "page_id", "left").select("page_id", F.coalesce("on_sale", F.lit(False)).alias("on_sale"))
+
+
+def merged_explorations(browser: DataFrame, probe: DataFrame, browser_real: DataFrame, probe_real: DataFrame) -> DataFrame:
+    """``browser`` and ``probe`` (site, kind, href) to one exploration a site: categories of the browser's, products of the browser's if they are real, else the probe's if those are.
+
+    ``*_real`` (site, has_real_links) say whose products are real; where neither's are, the browser's stay.
+    """
+    real = browser_real.withColumnRenamed("has_real_links", "b").join(probe_real.withColumnRenamed("has_real_links", "p"), "site", "full")
+    use_probe = real.filter(~F.coalesce("b", F.lit(False)) & F.coalesce("p", F.lit(False))).select("site")
+    own = browser.join(use_probe.withColumn("_swap", F.lit(True)), "site", "left").filter((F.col("kind") == "category") | F.col("_swap").isNull()).drop("_swap")
+    return own.unionByName(probe.filter("kind = 'product'").join(use_probe, "site", "left_semi"))

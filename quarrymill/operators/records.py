@@ -122,3 +122,35 @@ def merge_fields(direct: Column, existing: Column, mapped: Column) -> Column:
 
     base = F.map_concat(F.map_filter(direct, lambda k, v: ~F.map_contains_key(valid(existing), k)), valid(existing))
     return F.map_concat(base, F.map_filter(valid(mapped), lambda k, v: ~F.map_contains_key(base, k)))
+
+
+def page_record(v: Column, title: Column, body: Column, metadata: Column) -> dict[str, Column]:
+    """A generic page: texts of its JSON-LD where there is a block, else its own title and body; pictures by JSON-LD, meta tags as they are."""
+    there = v.isNotNull()
+    return {
+        "title": F.when(there, J.either(v, "$.headline", "$.name")).otherwise(F.coalesce(title, F.lit(""))),
+        "content": F.when(there, J.either(v, "$.articleBody", "$.description")).otherwise(F.coalesce(body, F.lit(""))),
+        "images": F.coalesce(J.pictures(v), F.array().cast("array<string>")),
+        "metadata": F.coalesce(metadata, F.create_map().cast("map<string,string>")),
+    }
+
+
+def item_record(v: Column, content_type: str, heading: Column, currency: str = "USD") -> dict[str, Column]:
+    """An item found by navigation, of one of three types; the page's heading where JSON-LD has no title."""
+    if content_type == "article":
+        own = {"title": J.either(v, "$.headline", "$.name"), "author": J.either(v, "$.author.name", "$.author[0].name"), "publish_date": J.either(v, "$.datePublished"), "content": J.either(v, "$.articleBody")}
+    elif content_type == "job_posting":
+        own = {"title": J.either(v, "$.title"), "company": J.either(v, "$.hiringOrganization.name"), "location": J.either(v, "$.jobLocation.address.addressLocality"), "description": J.either(v, "$.description")}
+    else:
+        offer, price = J.offer(v), F.coalesce(J.text(J.offer(v), "$.price"), F.lit(""))
+        code = F.coalesce(J.text(offer, "$.priceCurrency"), F.lit(currency))
+        sold = F.coalesce(J.text(offer, "$.availability"), F.lit("")).rlike("OutOfStock|SoldOut")
+        own = {"title": J.either(v, "$.name"), "price": F.when(price == "", "").otherwise(F.concat(code, price)), "currency": code, "availability": F.when(sold, "Out of Stock").otherwise("In Stock"), "description": J.either(v, "$.description")}
+    own["title"] = F.coalesce(F.nullif(own["title"], F.lit("")), heading, F.lit(""))
+    return own
+
+
+def sparse_json(always: dict[str, Column], optional: dict[str, Column]) -> Column:
+    """A record as JSON: the first fields whatever they hold, the optional ones only if they aren't empty."""
+    shown = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in always.items()]
+    return F.to_json(F.struct(*shown, *[F.nullif(c, F.lit("")).alias(n) for n, c in optional.items()]))

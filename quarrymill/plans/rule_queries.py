@@ -23,55 +23,62 @@ def parts(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(K, *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-_ANSWER = f"""CASE {K} % 9 WHEN 0 THEN 'Cancel' WHEN 1 THEN '{{"choice": "Abort"}}' WHEN 2 THEN '{{"decision": "reject"}}' WHEN 3 THEN '{{"response": "go on"}}' WHEN 4 THEN '{{"x": 1}}'
- WHEN 5 THEN 'whatever' WHEN 6 THEN 'cancel' WHEN 7 THEN '{{"decision": "approve", "choice": "No"}}' END"""
+#: Answers made of what an event says: JSON objects with and without an answer, plain text, and none.
+_ANSWER = """CASE event_type WHEN 'click' THEN props WHEN 'view' THEN concat('{"choice": "', CASE WHEN value > 20 THEN 'Abort' ELSE 'Go' END, '"}')
+ WHEN 'signup' THEN CASE WHEN value > 30 THEN 'Cancel' WHEN value > 20 THEN 'stop' WHEN value > 10 THEN 'cancel' ELSE 'fine' END
+ WHEN 'purchase' THEN concat('{"decision": "', CASE WHEN value > 15 THEN 'reject' ELSE 'approve' END, '", "choice": "No"}') WHEN 'error' THEN CASE WHEN value > 25 THEN '{"response": "go on"}' END END"""
 
 
 @query(f"""
-SELECT {K}, said, said IN ('Cancel', 'Abort', 'No', 'stop', 'Stop', 'reject') AS cancels, said NOT IN ('Cancel', 'Abort', 'No', 'stop', 'Stop') AS approves FROM (
-  SELECT {K}, CASE WHEN p IS NULL THEN 'Cancel' WHEN starts_with(p, '{{') THEN coalesce(json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.decision'),
-    json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.choice'), json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.response'), '') ELSE p END AS said FROM (SELECT {K}, {_ANSWER} AS p FROM part))
+SELECT event_id, said, said IN ('Cancel', 'Abort', 'No', 'stop', 'Stop', 'reject') AS cancels, said NOT IN ('Cancel', 'Abort', 'No', 'stop', 'Stop') AS approves FROM (
+  SELECT event_id, CASE WHEN p IS NULL THEN 'Cancel' WHEN starts_with(p, '{{') THEN coalesce(json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.decision'),
+    json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.choice'), json_extract_string(CASE WHEN starts_with(p, '{{') THEN p END, '$.response'), '') ELSE p END AS said FROM (SELECT event_id, {_ANSWER} AS p FROM events))
 """)
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = parts(spark, sf_dir, p=_ANSWER).select(K, G.decision(F.col("p")).alias("said"))
-    return said.select(K, "said", G.is_cancel(F.col("said")).alias("cancels"), G.is_approve(F.col("said")).alias("approves"))
+    said = table(spark, sf_dir, "events").selectExpr("event_id", f"{_ANSWER} AS p").select("event_id", G.decision(F.col("p")).alias("said"))
+    return said.select("event_id", "said", G.is_cancel(F.col("said")).alias("cancels"), G.is_approve(F.col("said")).alias("approves"))
 
 
-_STATE = f"CASE {K} % 5 WHEN 0 THEN 'captcha_blocked' WHEN 1 THEN 'akamai_blocked' WHEN 2 THEN 'blocked' WHEN 3 THEN 'running' END"
-_ERROR = f"CASE {K} % 3 WHEN 0 THEN 'boom' WHEN 1 THEN '' END"
-_RUN = f"CASE {K} % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'DONE' END"
-_REASON = f"CASE {K} % 6 WHEN 0 THEN 'retry_failed' WHEN 1 THEN 'low_coverage' WHEN 2 THEN 'skill_approval' WHEN 3 THEN 'other' WHEN 4 THEN 'choose_mechanism' END"
+#: Orders as jobs: the state by priority, the error by amount, the run by status, the reason for asking by month.
+_STATE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'captcha_blocked' WHEN '2' THEN 'akamai_blocked' WHEN '3' THEN 'blocked' WHEN '4' THEN 'running' END"
+_ERROR = "CASE WHEN o_totalprice < 50000 THEN 'boom' WHEN o_totalprice < 100000 THEN '' END"
+_RUN = "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'DONE' END"
+_REASON = "CASE month(o_orderdate) WHEN 1 THEN 'retry_failed' WHEN 2 THEN 'low_coverage' WHEN 3 THEN 'skill_approval' WHEN 4 THEN 'other' WHEN 5 THEN 'choose_mechanism' END"
 
 
 @query(f"""
-SELECT {K}, CASE WHEN s IN ('captcha_blocked', 'akamai_blocked') THEN s WHEN coalesce(e, '') <> '' OR coalesce(x, '') = 'FAILED' THEN 'failed' ELSE 'completed' END AS status,
+SELECT o_orderkey, CASE WHEN s IN ('captcha_blocked', 'akamai_blocked') THEN s WHEN coalesce(e, '') <> '' OR coalesce(x, '') = 'FAILED' THEN 'failed' ELSE 'completed' END AS status,
   CASE r WHEN 'retry_failed' THEN 're_scrape' WHEN 'low_coverage' THEN 'field_coverage' WHEN 'skill_approval' THEN 'skill_update' WHEN 'choose_mechanism' THEN 'mechanism' ELSE 'execution' END AS approval
-FROM (SELECT {K}, {_STATE} AS s, {_ERROR} AS e, {_RUN} AS x, {_REASON} AS r FROM part)
+FROM (SELECT o_orderkey, {_STATE} AS s, {_ERROR} AS e, {_RUN} AS x, {_REASON} AS r FROM orders)
 """)
 def gate_final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir, s=_STATE, e=_ERROR, x=_RUN, r=_REASON)
-    return p.select(K, G.final_status(F.col("s"), F.col("e"), F.col("x")).alias("status"), G.approval_type(F.col("r")).alias("approval"))
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_STATE} AS s", f"{_ERROR} AS e", f"{_RUN} AS x", f"{_REASON} AS r")
+    return o.select("o_orderkey", G.final_status(F.col("s"), F.col("e"), F.col("x")).alias("status"), G.approval_type(F.col("r")).alias("approval"))
 
 
-_AGE = f"CASE WHEN {K} % 7 > 0 THEN {K} % 600 END"
+#: Events as checks of a service: their age by minute, the call budget by value, the mode by type, the criteria by value.
+_AGE = "CASE WHEN event_type <> 'error' THEN minute(ts) * 10 END"
+_BUDGET = "CAST(floor(value) AS INT)"
+_EVENT_MODE = "CASE WHEN event_type IN ('click', 'view') THEN 'url_list' ELSE 'navigation' END"
+_CRITERIA = "CASE WHEN value > 20 THEN props END"
 
 
 @query(f"""
-SELECT {K}, CASE WHEN age IS NULL THEN 'unknown' WHEN {K} % 4 = 0 THEN 'down' WHEN age < 300 THEN 'up' ELSE 'degraded' END AS health,
-  CASE WHEN p_size < 50 AND {K} % 10 >= 5 THEN least(p_size + 10, 50) ELSE p_size END::BIGINT AS budget, CASE WHEN {K} % 3 = 1 AND {K} % 2 = 0 THEN 'search_term' WHEN {K} % 2 = 0 THEN 'url_list' ELSE 'navigation' END AS mode,
-  CASE WHEN {K} % 5 IN (0, 1, 2, 3) THEN 'browser' ELSE 'http' END AS method, ({K} % 2 = 1 AND {K} % 3 = 1) OR {K} % 4 = 0 AS needs_browser
-FROM (SELECT *, {_AGE} AS age FROM part)
+SELECT event_id, CASE WHEN age IS NULL THEN 'unknown' WHEN value <= 5 THEN 'down' WHEN age < 300 THEN 'up' ELSE 'degraded' END AS health,
+  CASE WHEN budget < 50 AND hour(ts) >= 5 THEN least(budget + 10, 50) ELSE budget END::BIGINT AS budget, CASE WHEN criteria IS NOT NULL AND mode = 'url_list' THEN 'search_term' ELSE mode END AS mode,
+  CASE WHEN day(ts) % 5 < 4 THEN 'browser' ELSE 'http' END AS method, (value <= 3 AND event_type = 'view') OR event_type = 'signup' AS needs_browser
+FROM (SELECT *, {_AGE} AS age, {_BUDGET} AS budget, {_EVENT_MODE} AS mode, {_CRITERIA} AS criteria FROM events)
 """)
 def gate_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").selectExpr("*", f"{_AGE} AS age", f"CASE {K} % 2 WHEN 0 THEN 'url_list' ELSE 'navigation' END AS mode", f"CASE WHEN {K} % 3 = 1 THEN 'red' END AS criteria")
-    method = F.get(F.array(*map(F.lit, C.BROWSER_METHODS), F.lit("httpx")), F.expr(f"CAST({K} % 5 AS INT)"))
-    return p.select(
-        K,
-        G.service_health(F.col("age"), F.expr(f"{K} % 4 <> 0")).alias("health"),
-        G.extended_budget(F.col("p_size"), F.expr(f"{K} % 10")).cast("long").alias("budget"),
+    e = table(spark, sf_dir, "events").selectExpr("*", f"{_AGE} AS age", f"{_BUDGET} AS budget", f"{_EVENT_MODE} AS mode", f"{_CRITERIA} AS criteria")
+    method = F.get(F.array(*map(F.lit, C.BROWSER_METHODS), F.lit("httpx")), F.expr("CAST(day(ts) % 5 AS INT)"))
+    return e.select(
+        "event_id",
+        G.service_health(F.col("age"), F.expr("value > 5")).alias("health"),
+        G.extended_budget(F.col("budget"), F.expr("hour(ts)")).cast("long").alias("budget"),
         G.input_mode(F.col("mode"), F.col("criteria")).alias("mode"),
         C.method_class(method).alias("method"),
-        C.needs_browser(F.expr(f"{K} % 2 = 0"), F.expr(f"{K} % 3 <> 1"), F.when(F.expr(f"{K} % 4 = 0"), "react").otherwise("")).alias("needs_browser"),
+        C.needs_browser(F.expr("value > 3"), F.expr("event_type <> 'view'"), F.when(F.expr("event_type = 'signup'"), "react").otherwise("")).alias("needs_browser"),
     )
 
 
@@ -151,25 +158,43 @@ def norm_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(K, F.array_join(N.images(urls), " ").alias("images"), J.longest_tag(tags).alias("tag"), F.array_join(merged, ",").alias("merged"))
 
 
+#: Customers as sites: locale trouble by balance, a search by segment, its words by nation, links by nation and balance.
+_SITE = """c_acctbal < 0 AS fatal, c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AS searched, CASE WHEN c_nationkey > 10 THEN c_name ELSE '' END AS criteria, c_nationkey % 7 AS categories,
+  CAST(floor(c_acctbal / 3000) AS INT) AS real_links, CASE WHEN c_mktsegment = 'MACHINERY' THEN '.html' ELSE '' END AS pattern, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'next_button' ELSE 'none' END AS kind, c_nationkey * 2 AS total"""
+
+
 @query(f"""
-SELECT {K}, CASE WHEN f AND NOT r THEN 'failed' WHEN s AND c AND r THEN 'search' WHEN m AND r THEN 'category' WHEN p THEN 'url_pattern' WHEN NOT m AND NOT r AND NOT s THEN 'failed' WHEN m THEN 'category' ELSE 'unknown' END AS method,
-  CASE WHEN {K} % 3 = 0 THEN 'next_button' WHEN {K} % 40 > 20 THEN 'unknown' ELSE '' END AS paging
-FROM (SELECT {K}, {K} % 7 = 0 AS f, {K} % 2 = 0 AS s, {K} % 3 = 0 AS c, {K} % 5 >= 3 AS m, {K} % 4 > 0 AS r, {K} % 11 = 0 AS p FROM part)
+SELECT c_custkey, CASE WHEN fatal AND NOT real_links > 0 THEN 'failed' WHEN searched AND criteria <> '' AND real_links > 0 THEN 'search' WHEN categories >= 3 AND real_links > 0 THEN 'category' WHEN pattern <> '' THEN 'url_pattern'
+    WHEN categories < 3 AND real_links <= 0 AND NOT searched THEN 'failed' WHEN categories >= 3 THEN 'category' ELSE 'unknown' END AS method,
+  CASE WHEN kind <> 'none' THEN kind WHEN total > 20 THEN 'unknown' ELSE '' END AS paging FROM (SELECT *, {_SITE.replace("//", "/")} FROM customer)
 """)
 def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.expr
-    method = L.discovery_method(e(f"{K} % 7 = 0"), e(f"{K} % 2 = 0"), F.when(e(f"{K} % 3 = 0"), "red").otherwise(""), e(f"{K} % 5"), e(f"{K} % 4"), F.when(e(f"{K} % 11 = 0"), "x").otherwise(""))
-    paging = L.inferred_paging(F.when(e(f"{K} % 3 = 0"), "next_button").otherwise("none"), e(f"{K} % 40"), F.lit(20))
-    return table(spark, sf_dir, "part").select(K, method.alias("method"), paging.alias("paging"))
+    c = F.col
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[x.strip() for x in _columns(_SITE)])
+    method = L.discovery_method(c("fatal"), c("searched"), c("criteria"), c("categories"), c("real_links"), c("pattern"))
+    return sites.select("c_custkey", method.alias("method"), L.inferred_paging(c("kind"), c("total"), F.lit(20)).alias("paging"))
 
 
-@query(f"SELECT {K}, {K} % 3 = 0 AND {K} % 4 > 0 AS valid, {K} % 2 = 0 AS core FROM part")
-def gate_valid_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.expr
+def _columns(sql: str) -> list[str]:
+    """A list of SQL columns, taken apart at the commas outside of brackets."""
+    out, depth = [""], 0
+    for x in sql:
+        depth += (x == "(") - (x == ")")
+        out = [*out, ""] if x == "," and not depth else [*out[:-1], out[-1] + x]
+    return out
+
 
-    def sample(title: str, price: str, status: str):
-        return F.struct(e(title).alias("title"), e(price).alias("price"), e(status).alias("status_code"), F.lit(None).cast("string").alias("remarks"))
+#: Parts as samples: a title by size, a price by type, a status by brand, remarks by type and size.
+_SAMPLE = {"title": "CASE WHEN p_size > 10 THEN p_name END", "price": "CASE WHEN p_type <> 'PROMO' THEN CAST(p_size AS STRING) ELSE '' END", "status_code": "CASE WHEN p_brand = 'Brand#1' THEN 404 ELSE 200 END", "remarks": "CASE WHEN p_type = 'ECONOMY' AND p_size > 40 THEN 'Soft 404: gone' END"}
 
-    samples = F.array(sample("'dead'", "'1'", "404"), sample(f"CASE {K} % 3 WHEN 0 THEN 'x' END", f"CASE WHEN {K} % 4 > 0 THEN '2' ELSE '' END", "200"))
-    fields = F.array(*map(F.lit, G.DEFAULT_CORE[:-1]), F.when(e(f"{K} % 2 = 0"), G.DEFAULT_CORE[-1]).otherwise("brand"))
-    return table(spark, sf_dir, "part").select(K, G.valid_output(samples).alias("valid"), G.core_present(fields).alias("core"))
+
+@query(f"""
+SELECT {K}, title IS NOT NULL AND price <> '' AND status_code <> 404 AND remarks IS NULL AS valid, p_size > {3 * (len(G.DEFAULT_CORE) - 1)} AS core FROM (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _SAMPLE.items())} FROM part)
+""")
+def gate_valid_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's sample beside one that is dead; its core fields are there from a size on that grows from field to field."""
+    e = F.expr
+    own = F.struct(*[e(v).alias(k) for k, v in _SAMPLE.items()])
+    dead = F.struct(F.col("p_name").alias("title"), F.lit("1").alias("price"), F.lit(410).alias("status_code"), F.lit(None).cast("string").alias("remarks"))
+    fields = F.array_compact(F.array(F.lit("brand"), *[F.when(F.col("p_size") > 3 * i, name) for i, name in enumerate(G.DEFAULT_CORE)]))
+    return table(spark, sf_dir, "part").select(K, G.valid_output(F.array(dead, own)).alias("valid"), G.core_present(fields).alias("core"))

@@ -82,6 +82,32 @@ def test_schemas(spark):
     assert schemas.content_types(spark).count() == 6
 
 
+def test_choices_and_field_lines(spark):
+    assert [tuple(r)[1:] for r in schemas.choices(spark).orderBy("ord").limit(4).collect()] == [("product", "Shopping: Product"), ("product_list", "Shopping: Product List"), ("product_navigation", "Shopping: Product Navigation"), ("article", "Articles: Article")]
+    assert schemas.choices(spark).count() == 11 == len(schemas.PAGE_TYPES)
+    lines = {r.content_type: r.lines.split("\n") for r in schemas.field_lines(spark).collect()}
+    assert lines["serp"][0] == "- rank: number (required)" and len(lines["product"]) == 10
+
+
+def test_links_merge_and_real_links(spark):
+    page = spark.createDataFrame([(1, "https://a.com/p/1", "One"), (1, "https://a.com/p/2", "Two"), (1, "https://a.com/p/3", "Three"), (1, "https://a.com/sale", "Sale"), (2, "https://a.com/p/1", "One")], "page_id int, href string, text string")
+    assert {(r.page_id, r.has_real_links) for r in links.has_real_links(page, page.limit(0)).collect()} == {(1, True), (2, False)}
+    more = spark.createDataFrame([(1, "https://a.com/p/1", "again"), (2, "https://a.com/p/9", "new")], "page_id int, href string, text string")
+    assert links.merge_new(page, more).count() == 6
+
+
+def test_file_lists_and_runs(spark, tmp_path):
+    urls = spark.createDataFrame([("s", 1, "https://a"), ("s", 0, "https://b"), ("t", 0, "https://c")], "site string, pos int, url string")
+    files.write_url_list(urls, f"file://{tmp_path}/lists", "site", "pos")
+    assert sorted((r.pos, r.url) for r in files.read_url_lists(spark, f"file://{tmp_path}/lists").collect()) == [(0, "https://b"), (0, "https://c"), (1, "https://a")]
+    for name in ("output_2024-01-01_000000.json", "output_2024-01-02_000000.json", "other.json"):
+        (tmp_path / "runs").mkdir(exist_ok=True)
+        (tmp_path / "runs" / name).write_text("{}")
+    listed = files.list_files(spark, f"file://{tmp_path}/runs", "*.json")
+    assert [r.file for r in listed.collect()] == ["output_2024-01-02_000000.json", "output_2024-01-01_000000.json", "other.json"]
+    assert sorted(r.file for r in files.runs_since(listed, F.lit("2024-01-02 00:01:00").cast("timestamp")).collect()) == ["other.json", "output_2024-01-02_000000.json"]
+
+
 def test_no_python_in_column_queries(spark, sf_dir):
     from quarrymill.registry import QUERIES
 
