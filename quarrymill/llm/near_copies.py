@@ -61,10 +61,11 @@ def wide_print(text: str | None, n: int = 5, seed: int = 42) -> tuple[np.ndarray
     return np.concatenate((words, least)), np.unique((own >> np.uint64(32)).astype(np.uint32))
 
 
-def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, seed: int = 42) -> DataFrame:
-    """``(id, text_hash, node, marks, shingles)``: hash of the set, words and min-hashes, and the set of every document."""
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+
 
+def _prints(n: int, seed: int, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -73,12 +74,32 @@ def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 b = batch.slice(at, 1000)
                 marks, sets = zip(*(wide_print(t.as_py(), n, seed) for t in b.column(1)))
                 raw = [s.tobytes() for s in sets]
-                node = np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64)
-                flat = pa.array(np.concatenate(marks).view(np.int64))
-                listed = pa.FixedSizeListArray.from_arrays(flat, WORDS + SEGMENTS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), listed, pa.array(raw, pa.binary())], ["id", "text_hash", "node", "marks", "shingles"])
+                node = pa.array(np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64))
+                if with_sets:
+                    yield pa.RecordBatch.from_arrays([node, pa.array(raw, pa.binary())], ["node", "shingles"])
+                else:
+                    flat = pa.array(np.concatenate(marks).view(np.int64))
+                    listed = pa.FixedSizeListArray.from_arrays(flat, WORDS + SEGMENTS).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, listed], ["id", "text_hash", "node", "marks"])
+
+    return run
+
+
+def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, text_hash, node, marks)``: hash of the set of shingles, and words and min-hashes, of every document."""
+    source = _source(docs, id_col, text_col)
+    return source.mapInArrow(_prints(n, seed, False), f"id {source.schema['id'].dataType.simpleString()}, text_hash long, node long, marks array<long>")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, seed: int = 42) -> DataFrame:
+    """``(node, shingles)`` of ``nodes`` (first: id and text hash of a document that has it), made from their texts again.
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_hash long, node long, marks array<long>, shingles binary")
+    The sets of all documents take as much room as the texts; few of them share a key with another.
+    """
+    first = nodes.select(F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    source = _source(docs, id_col, text_col)
+    wanted = source.join(first, source["id"].eqNullSafe(first["first_id"]) & source["text_hash"].eqNullSafe(first["first_hash"]), "left_semi")
+    return wanted.mapInArrow(_prints(n, seed, True), "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
 def segment_keys(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,45 +201,49 @@ def _blocks(similarity: float):
     return run
 
 
-def near_copy_links(nodes: DataFrame, prints: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``nodes`` (node, row, marks) to ``(node, root)`` for every node with a link: its component's smallest node."""
-    sets = prints.join(nodes.select("row"), "row", "left_semi").select("node", "shingles")
-    keyed = written(nodes.select("node", "marks").mapInArrow(_keyed, "key long, node long, word long"), "keyed")
-    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("node", "word"), F.xxhash64("node")).alias("leader"))
-    met = keyed.join(leaders, "key").filter((F.col("node") != F.col("leader.node")) & _near(F.col("word"), F.col("leader.word")))
-    pairs = met.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v")).distinct()
+def near_copy_links(shared: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``shared`` (key, node, word) and the nodes' sets to ``(node, root)`` for every node with a link: its component's smallest node."""
+    leaders = shared.groupBy("key").agg(F.min_by(F.struct("node", "word"), F.xxhash64("node")).alias("leader"))
+    met = shared.join(leaders, "key").filter((F.col("node") != F.col("leader.node")) & _near(F.col("word"), F.col("leader.word")))
+    pairs = written(met.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v")).distinct(), "pairs")
     first = written(_verified(pairs, sets, similarity), "first")
     roots = connected_components(first)
 
     # All other pairs of a key, where it still holds several components.
-    held = written(keyed.join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root")), "held")
+    held = written(shared.join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root")), "held")
     counted = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z AND n > 2").select("key", "n")
-    shared = written(held.join(counted, "key"), "shared")
-    small = shared.filter(F.col("n") <= PAIR_NODES).groupBy("key").agg(F.collect_list(F.struct("node", "word", "root")).alias("all"))
+    apart = written(held.join(counted, "key"), "apart")
+    small = apart.filter(F.col("n") <= PAIR_NODES).groupBy("key").agg(F.collect_list(F.struct("node", "word", "root")).alias("all"))
     two = small.select(F.explode("all").alias("u"), "all").select("u", F.explode(F.filter("all", lambda v: (v["node"] > F.col("u.node")) & (v["root"] != F.col("u.root")) & _near(v["word"], F.col("u.word")))).alias("v"))
-    few = _verified(two.select("u.node", F.col("v.node").alias("other")).toDF("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), sets, similarity)
+    others = written(two.select("u.node", F.col("v.node").alias("other")).toDF("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "others")
+    few = _verified(others, sets, similarity)
 
-    large = shared.filter(F.col("n") > PAIR_NODES).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    large = apart.filter(F.col("n") > PAIR_NODES).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = large.select("key", "node", "word", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     each = each.select("key", "node", "word", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     many = each.join(sets, "node").groupBy("key", "low", "high").applyInArrow(_blocks(similarity), "u long, v long")
 
-    links = first.union(few).union(many)
-    out = connected_components(links)
-    for done in (keyed, first, held, shared):
+    out = connected_components(first.union(few).union(many))
+    for done in (pairs, first, held, apart, others):
         drop_written(done)
     return out
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """``(id, text_hash, fp, component_id)``, a row per document; component_id is the smallest id that links reach."""
-    prints = written(wide_prints(docs, id_col, text_col, n, seed).withColumn("row", F.monotonically_increasing_id()), "prints")
-    nodes = written(prints.groupBy("node").agg(F.min("id").alias("low"), F.min("row").alias("row"), F.min("marks").alias("marks")), "nodes")
-    roots = near_copy_links(nodes, prints, similarity)
+    prints = written(wide_prints(docs, id_col, text_col, n, seed), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("id", "text_hash")).alias("first"), F.min("marks").alias("marks")), "nodes")
+    # Most keys are one node's alone and go before their rows are dealt out.
+    keyed = nodes.select("node", "marks").mapInArrow(_keyed, "key long, node long, word long")
+    often = written(keyed.groupBy("key").count().filter("count > 1").select("key"), "often")
+    shared = written(keyed.join(often, "key", "left_semi"), "shared")
+    involved = written(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first"), "involved")
+    sets = written(shingle_sets(docs, involved, id_col, text_col, n, seed), "sets")
+    roots = near_copy_links(shared, sets, similarity)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = written(rooted.join(lowest, "root").select("node", "component_id"), "classes")
-    for done in (nodes, roots):
+    for done in (nodes, often, shared, involved, sets, roots):
         drop_written(done)
     return prints.select("id", "text_hash", "node").join(by_node, "node").select(F.col("id").alias(id_col), "text_hash", F.col("node").alias("fp"), "component_id")
