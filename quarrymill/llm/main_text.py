@@ -17,6 +17,9 @@ A name that is only a part of a class or id (``content-social``, ``with-sidebar`
 (``news alert``) or on an article, is doubtful, unless it names comments: the element comes back where it holds four times the text
 of the rest of the page, or an article longer than that rest; a main element never goes by its name.
 
+A page that would be left without any text but headings and links is read again: an element of such a name, but for readers' comments,
+is text where it lies in a main or article element, and doubtful where it has an h1 (a film review, a page of notices).
+
 Defined results: a null, empty or markup-only page gives an empty text; very long pages are read whole, in time that
 grows with their length; markup that is never closed ends with its enclosing element or the page, a quote that is never
 closed is an ordinary character; of repeated attributes all count; repeated rows give a row each; an empty table gives an
@@ -55,6 +58,8 @@ _BOILERPLATE = re.compile(
     re.I,
 )
 _REPLIES = re.compile(r"(?:^|[_-])(?:comments?|respond|replies|disqus|reviews?)(?:$|[_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s\"'_-])(?:comments?|respond|replies|disqus)(?:$|[\s\"'_-])", re.I)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _STATE = re.compile(r"(?:^|[_-])(?:with|has|no|without|is|show|hide)[_-]", re.I)
 _ARTICLE = frozenset(("article", "main"))
 #: A doubtful element comes back if it has so many times the text of the rest.
@@ -109,19 +114,21 @@ def _named(name: str, value: str) -> str:
 class _Page:
     """A page's events in order, and its doubtful elements by number (0 is the page): parent, own text, own text in articles.
 
-    An event is ``("line",)``, ``("text", value, owner, in a link, in an h1)``, ``("border", owner)`` or
-    ``("article", 1 or -1, owner)``; an owner is the innermost doubtful element. Sizes don't count text in links.
+    An event is ``("line",)``, ``("text", value, owner, in a link, in an h1, in any heading)``, ``("border", owner)`` or
+    ``("article", 1 or -1, owner)``; an owner is the innermost doubtful element. Sizes don't count text in links. ``barred``
+    are doubtful elements of boilerplate names without an h1.
     """
 
     events: list[tuple]
     parent: list[int]
     size: list[int]
     cards: list[int]
+    barred: list[bool]
 
 
-def _read(page: str) -> _Page:
+def _read(page: str, again: bool = False) -> _Page:
     events: list[tuple] = []
-    parent, size, cards = [0], [0], [0]
+    parent, size, cards, barred = [0], [0], [0], [False]
     stack: list[tuple[str, bool, int, int | None]] = []  # open elements: name, drops its content, owner before, owner of an article
     count: Counter[str] = Counter()
     articles: list[int] = []  # the owners of the open articles
@@ -143,7 +150,7 @@ def _read(page: str) -> _Page:
     for kind, name, value in _tokens(page):
         if kind == "text":
             if not dropping:
-                events.append(("text", value, owner, count["a"] > 0, count["h1"] > 0))
+                events.append(("text", value, owner, count["a"] > 0, count["h1"] > 0, any(count[h] for h in _HEADINGS)))
                 if not count["a"]:
                     length = len(value.strip())
                     size[owner] += length
@@ -166,12 +173,20 @@ def _read(page: str) -> _Page:
                     break
         drops = name in _DROPPED or (name == "header" and not articles)
         named = _named(name, value) if not drops and name not in ("body", "html") else ""
+        strict = again and named == "whole" and not _COMMENTS.search(" ".join(_NAMED.findall(value)))
+        if strict:
+            named = "" if articles else "part"
         drops, before = drops or named == "whole", owner
         if named == "part" and not dropping:
             parent.append(owner)
             size.append(0)
             cards.append(0)
+            barred.append(strict)
             owner = len(parent) - 1
+        if name == "h1" and not dropping:
+            k = owner
+            while k:
+                barred[k], k = False, parent[k]
         dropping += drops
         article = owner if name in _ARTICLE and not dropping else None
         if article is not None:
@@ -181,7 +196,7 @@ def _read(page: str) -> _Page:
         count[name] += 1
     close(0)
     events.append(("line",))
-    return _Page(events, parent, size, cards)
+    return _Page(events, parent, size, cards, barred)
 
 
 def _come_back(page: _Page) -> list[bool]:
@@ -195,7 +210,7 @@ def _come_back(page: _Page) -> list[bool]:
             cards[page.parent[k]] += cards[k]
     alive = [True] + [False] * (len(total) - 1)
     rest, edge = page.size[0], inside[0]
-    while back := [k for k in edge if total[k] and (total[k] >= HOLDS * rest or cards[k] > rest)]:
+    while back := [k for k in edge if total[k] and not page.barred[k] and (total[k] >= HOLDS * rest or cards[k] > rest)]:
         for k in back:
             alive[k] = True
             rest += page.size[k]
@@ -203,10 +218,20 @@ def _come_back(page: _Page) -> list[bool]:
     return alive
 
 
+def _has_body(page: _Page, alive: list[bool]) -> bool:
+    """Whether there is text outside of links and headings."""
+    return any(e[0] == "text" and alive[e[2]] and not e[3] and not e[5] and e[1].strip() for e in page.events)
+
+
 def lines_of(page: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, int, int, bool]]:
     """The page's lines in order: text, its length without links, number of the article or 0, is in an h1."""
     read = _read(page)
     alive = _come_back(read)
+    if not _has_body(read, alive):
+        second = _read(page, again=True)
+        back = _come_back(second)
+        if _has_body(second, back):
+            read, alive = second, back
     out: list[tuple[str, int, int, bool]] = []
     held: list[str] = []
     linked = article = number = 0
@@ -214,7 +239,7 @@ def lines_of(page: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, int,
     gap = [("", 0, 0, False)] * block_lines
     for kind, *event in read.events:
         if kind == "text":
-            value, owner, in_link, in_h1 = event
+            value, owner, in_link, in_h1, _ = event
             if alive[owner]:
                 held.append(value)
                 linked += len(value.strip()) if in_link else 0

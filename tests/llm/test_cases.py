@@ -590,3 +590,22 @@ def test_pages_take_linear_time():
         main_text(page)
     assert time.perf_counter() - began < 20
     assert main_text("<p>" + "<b>" * 30_000 + "word</i>" * 30_000) == "word" * 30_000
+
+
+@pytest.mark.parametrize("name", ["review", "notice", "search", "related", "widget", "alert", "social"])
+def test_main_text_keeps_the_only_body(name):
+    """A boilerplate name on what holds all of a page's text; beside other text the same element goes."""
+    body = "A long film with a slow beginning that is worth its time, all things considered. " * 5
+    text = "The heading " + body.strip()
+    inner = f"<h1>The heading</h1><p>{body}</p>"
+    for page in (f'<main><div class="{name}">{inner}</div></main>', f'<main><h1>The heading</h1><div class="{name}"><p>{body}</p></div></main>', f'<body><nav><a href=/>Home</a></nav><div class="{name}">{inner}</div><footer>f</footer></body>'):
+        assert main_text(page) == text
+    assert main_text(f'<article><h1>Own</h1><p>{body}</p></article><div class="{name}"><p>{"Other text beside it. " * 60}</p></div>') == "Own " + body.strip()
+    assert main_text(f'<div class="{name}"><p>{body}</p></div>') == ""
+
+
+def test_main_text_never_takes_comments_for_the_body():
+    comments = "I liked it a lot and would read it again. " * 20
+    for name in ("comments", "comments-list", "disqus", "respond"):
+        assert main_text(f'<main><h1>Title</h1><div class="{name}"><p>{comments}</p></div></main>') in ("", "Title")
+        assert main_text(f'<div id="{name}"><h1>Comments</h1><p>{comments}</p></div>') in ("", "Comments")
