@@ -9,9 +9,12 @@ licence file by name are compared with the customary headers, titles and texts i
 with frequencies counted over these. A whole with ``SURE`` or more decides; else the best of whole, paragraph and line.
 Long licences (GPL, Apache, MPL, EPL) stand in ``TEXTS`` with title and header, by which their full texts are known.
 
-A file is a licence file if its name says so or if its licence lines hold at least half of its words. A file without
-a licence of its own inherits that of the nearest directory above it that has a licence file (most frequent licence of
-the directory's licence files, ties: the first name), found by joining directories with their ancestors.
+What a file states after ``SPDX-License-Identifier:`` is its licence as stated, with ``OR``, ``AND``, ``WITH`` and endings
+like ``-or-later``, whether a template has it or not; of several statements the first by name.
+
+A file is a licence file if its name says so, or if it has ``TEXT_WORDS`` words or more and its licence lines hold at least
+half of them. A file without a licence of its own inherits that of the nearest directory above it that has a licence file
+(named ones before others; their most frequent licence, ties: the first name), found by joining directories with their ancestors.
 
 Defined results: a null or empty text has no licence of its own; rows with equal paths are one file whose lines are
 pooled, each with a row in the result; a null path is the empty path in the root; repeated lines of a file count once;
@@ -98,6 +101,10 @@ TEXTS = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 SURE = 0.9
+#: A text that is less than this is a header, however much of it names a licence.
+TEXT_WORDS = 20
+_STATED_ID = r"\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?"
+STATED = rf"(?i:SPDX-License-Identifier):[ \t]*({_STATED_ID}(?:[ \t]+(?:OR|AND|WITH)[ \t]+{_STATED_ID})*)"
 _MARK = r"(?:/\*+|\*+/|\*|//+|#+|;+|--+|<!--|%+|dnl\b)"
 _BLANK = r"\n[ \t]*\n"
 
@@ -167,7 +174,8 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     path = F.coalesce(files[path_col], F.lit(""))
     text = files[text_col]
     lines = files.filter(text.rlike(CUE)).select(path.alias("path"), F.regexp_count(text, F.lit(SPACE_WORD)).alias("n_words"), F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))).alias("line"))
-    lines = written(_digested(lines), "licence_lines")
+    lines = lines.withColumn("stated", F.regexp_replace(F.regexp_extract("line", STATED, 1), "[.-]+$", ""))
+    lines = written(_digested(lines, "stated"), "licence_lines")
 
     best = nearest_templates(lines, template_terms(spark), min_cosine).join(lines.select("path", "line", "held"), ["path", "line"])
     blocks = written(licence_blocks(files, path, text), "licence_blocks")
@@ -185,10 +193,15 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     own = own.join(block, "path", "full")
     of_line = F.when(F.col("b").isNotNull(), F.struct(F.lit(True).alias("r"), F.col("b.c").alias("c"), F.col("b.licence").alias("licence")))
     own = own.select("path", F.least(of_line, "u").alias("b"), F.greatest("held", "held_block").alias("held"), F.greatest("n_words", "n_block").alias("n_words"))
-    own = own.select("path", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), (name.rlike(LICENCE_NAME) | (2 * F.col("held") >= F.col("n_words"))).alias("is_file"))
+    stated = lines.filter("stated <> ''").groupBy("path").agg(F.min("stated").alias("stated"))
+    own = own.join(stated, "path", "full")
+    is_named = name.rlike(LICENCE_NAME)
+    is_text = F.coalesce((F.col("n_words") >= TEXT_WORDS) & (2 * F.col("held") >= F.col("n_words")), F.lit(False))
+    own = own.select("path", F.coalesce("stated", "b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), is_named.alias("is_named"), (is_named | is_text).alias("is_file"))
     own = written(own, "licence_own")
 
-    by_dir = own.filter("is_file").groupBy(directory(F.col("path")).alias("above"), "own").count().groupBy("above").agg(F.min(F.struct((-F.col("count")).alias("n"), "own"))["own"].alias("licence"))
+    per = own.filter("is_file").groupBy(directory(F.col("path")).alias("above"), "is_named", "own").count()
+    by_dir = per.groupBy("above").agg(F.min(F.struct((~F.col("is_named")).alias("other"), (-F.col("count")).alias("n"), "own"))["own"].alias("licence"))
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("above")))
     dirs = files.select(directory(path).alias("dir")).distinct().select("dir", F.inline(ancestors)).join(by_dir, "above")

@@ -12,7 +12,7 @@ from .bpe_count import count_tokens
 from .common import fresh_path, table, written
 from .decontaminate import contamination
 from .divergence import divergence
-from .licences import CUE, LICENCE_NAME, MIN_COSINE, TEMPLATES, TERM, licence_scan
+from .licences import CUE, LICENCE_NAME, MIN_COSINE, STATED, TEMPLATES, TERM, TEXT_WORDS, licence_scan
 from .main_text import extract_main_text
 from .merkle import leaf_digest, manifest
 from .mixing import plan_mix
@@ -185,14 +185,18 @@ WITH files AS (
 ), best AS (SELECT path, line, n_words, max(cosine) AS c FROM near GROUP BY ALL
 ), own AS (
   SELECT path, arg_min(licence, (-cosine, licence)) AS own, max(cosine) AS cosine FROM near GROUP BY path
+), stated AS (
+  SELECT path, min(regexp_replace(s, '[.-]+$', '')) AS stated FROM (SELECT path, regexp_extract(line, '{STATED}', 1) AS s FROM lines) WHERE s <> '' GROUP BY path
 ), held AS (
   SELECT path, sum(len(regexp_extract_all(line, '[^ 	-
 ]+'))) AS held, max(n_words) AS n_words FROM best GROUP BY path
 ), ownf AS (
-  SELECT path, own, cosine, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}') OR 2 * held >= n_words AS is_file FROM own JOIN held USING (path)
+  SELECT path, coalesce(stated, own) AS own, cosine, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}') AS is_named,
+         regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}') OR coalesce(n_words >= {TEXT_WORDS} AND 2 * held >= n_words, false) AS is_file
+  FROM own FULL JOIN stated USING (path) LEFT JOIN held USING (path)
 ), by_dir AS (
-  SELECT dir AS above, arg_min(own, (-n, own)) AS licence FROM (
-    SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own, count(*) AS n FROM ownf WHERE is_file GROUP BY ALL) GROUP BY dir
+  SELECT dir AS above, arg_min(own, (NOT is_named, -n, own)) AS licence FROM (
+    SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, is_named, own, count(*) AS n FROM ownf WHERE is_file GROUP BY ALL) GROUP BY dir
 ), anc AS (
   SELECT dir, d AS depth, array_to_string(string_split(dir, '/')[1:d], '/') AS above
   FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS d FROM (SELECT DISTINCT dir FROM f))
