@@ -33,6 +33,8 @@ from .golay import WORD_BITS, near_codewords
 from .simhash import _shingles
 
 WORDS, SEGMENTS, PAIR_NODES, BLOCK = 3, 8, 24, 512
+#: Tables of keys or documents, of two or three numbers a row, are broadcast up to so many rows and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 FIRST_BITS = 20
 #: Blocks look at pairs in full whose estimate, from as many bins of smallest hashes, is less than this under the similarity.
 BINS, SLACK = 256, 0.08
@@ -61,6 +63,11 @@ def wide_print(text: str | None, n: int = 5, seed: int = 42) -> tuple[np.ndarray
     return np.concatenate((words, least)), np.unique((own >> np.uint64(32)).astype(np.uint32))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, a written table, to be broadcast if it is short."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
 
@@ -96,7 +103,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text
 
     The sets of all documents take as much room as the texts; few of them share a key with another.
     """
-    first = nodes.select(F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    first = _small(nodes.select(F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")))
     source = _source(docs, id_col, text_col)
     wanted = source.join(first, source["id"].eqNullSafe(first["first_id"]) & source["text_hash"].eqNullSafe(first["first_hash"]), "left_semi")
     return wanted.mapInArrow(_prints(n, seed, True), "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
@@ -146,7 +153,7 @@ def _alike(similarity: float):
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (u, v) whose sets are alike."""
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("u", "v"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(_alike(similarity), "u long, v long")
+    return _small(pairs).join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(_alike(similarity), "u long, v long")
 
 
 def _near(one: Column, other: Column) -> Column:
@@ -237,7 +244,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Most keys are one node's alone and go before their rows are dealt out.
     keyed = nodes.select("node", "marks").mapInArrow(_keyed, "key long, node long, word long")
     often = written(keyed.groupBy("key").count().filter("count > 1").select("key"), "often")
-    shared = written(keyed.join(often, "key", "left_semi"), "shared")
+    shared = written(keyed.join(_small(often), "key", "left_semi"), "shared")
     involved = written(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first"), "involved")
     sets = written(shingle_sets(docs, involved, id_col, text_col, n, seed), "sets")
     roots = near_copy_links(shared, sets, similarity)
