@@ -69,9 +69,9 @@ def difference(p: Column, q: Column) -> Column:
 
 
 def kept_terms(counts: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(lang, term, cells)``: the kept terms with index and count of each source that has them."""
+    """``(lang, term, cells, counts)``: the kept terms with index and count of each source that has them, as pairs and as a map."""
     placed = counts.join(index, ["lang", "source"]).select("lang", "term", F.struct("i", "n").alias("cell"), "n_docs")
-    return placed.groupBy("lang", "term").agg(F.collect_list("cell").alias("cells"), F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).drop("n_docs")
+    return placed.groupBy("lang", "term").agg(F.collect_list("cell").alias("cells"), F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).drop("n_docs").withColumn("counts", F.map_from_entries("cells"))
 
 
 def language_totals(kept: DataFrame, index: DataFrame) -> DataFrame:
@@ -87,9 +87,9 @@ def language_totals(kept: DataFrame, index: DataFrame) -> DataFrame:
 
 def wide_vectors(kept: DataFrame, totals: DataFrame) -> DataFrame:
     """Each kept term with ``shares``, an array indexed by the sources of its language; those without the term have their absent share."""
-    own = F.transform("cells", lambda c: F.struct(c["i"], share(c["n"], F.get("totals", c["i"]), F.col("n_terms"))))
-    held = kept.join(totals, "lang").withColumn("held", F.map_from_entries(own))
-    return held.withColumn("shares", F.transform("absent", lambda z, i: F.coalesce(F.try_element_at("held", i), z))).drop("held")
+    vector = F.transform("totals", lambda _, i: F.coalesce(F.try_element_at("counts", i), F.lit(0).cast("long")))
+    shares = F.transform(vector, lambda n, i: share(n, F.get("totals", i), F.col("n_terms")))
+    return kept.join(totals, "lang").withColumn("shares", shares).drop("counts")
 
 
 def _gap(p: str, q: str) -> Column:
