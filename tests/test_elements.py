@@ -1,8 +1,11 @@
 """The element scanner, selectors and listing operators on markup that regular expressions can't read."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import compare
+from quarrymill import registry
 from quarrymill.operators import listings
 from quarrymill.sources.elements import first_text, matches, meta_tags, parse_selector, pick, plain_text, scan, selected
 
@@ -89,3 +92,15 @@ def test_grid_of_the_nearest_class(spark):
     html = "".join(grid.format(i) for i in range(3)) + "".join(f"<ul class=far><li><i><b><u><a href=/product/z{i}>z</a></u></b></i></li></ul>" for i in range(2)) + "<nav class=n><a href=/home>h</a></nav>"
     got = listings.grid_links(_page(spark, html, "<a href=/product/1>1</a>")).orderBy("pos").collect()
     assert [(r.page_id, r.parent, r.href) for r in got] == [(0, "g", f"https://a.example/product/{i}") for i in range(3)]
+
+
+@pytest.mark.parametrize("name", ["page_first_selected"])
+def test_queries_decode_the_references_of_their_sql(spark, tmp_path, name):
+    """Titles and headings that are cut in a reference, end in a bare ``&`` or hold others than ``&amp;``; a script's ``&`` is no reference."""
+    page = '<html><head><title> {t} | x{t}</title><script>var t="</p>";a && b</script></head><body><article><h1>{t}</h1><p>{t}</p></article></body></html>'
+    cut = ["a &amp;&amp", "b &", "c &am", "d &quot;e&quot", "&amp;lt; f", "&copy; &copyg"]
+    rows = [(3 * i + k, "https://a.example/x", page.replace("{t}", t)) for i, t in enumerate(cut) for k in range(2)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert compare.spark_rows(registry.QUERIES[name](spark, str(tmp_path))) == compare.sql_rows(con, registry.SQL[name])
