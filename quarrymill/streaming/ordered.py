@@ -51,48 +51,79 @@ class OrderedRule:
 
 
 class Ordered(StatefulProcessor):
-    """Runs a rule over ``(key, ts, order, state, payload)`` rows."""
+    """Runs a rule over ``(key, ts, order, state, payload)`` rows.
 
-    def __init__(self, rule: OrderedRule, slot_ms: int) -> None:
-        self.rule, self.slot_ms = rule, slot_ms
+    A key's first ``most`` rows wait in one value beside its memory, so that a key with few rows costs a read and a write
+    a trigger, however many slots they lie in. Further rows go to a map by slot, in parts that are only ever written and
+    read once. A key has one timer, for the end of its first slot.
+    """
+
+    def __init__(self, rule: OrderedRule, slot_ms: int, most: int = 1000) -> None:
+        self.rule, self.slot_ms, self.most = rule, slot_ms, most
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "rows string")
-        self.memory = handle.getValueState("memory", "m string")
+        self.held = handle.getValueState("held", "timer long, parts long, rows string, memory string")
+        self.slots = handle.getMapState("slots", "slot long, part long", "rows string")
+        self.made = Row(*[c.split()[0] for c in self.rule.output.split(", ")])
+
+    def _held(self) -> tuple[int | None, int, list, str | None]:
+        """The timer that is set, how many parts have been written, the rows beside them and the rule's memory."""
+        timer, parts, rows, memory = self.held.get() or (None, 0, "[]", None)
+        return timer, parts, json.loads(rows), memory
+
+    def _by_slot(self, rows: list[Held]) -> dict[int, list[Held]]:
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(r[0] // (self.slot_ms * 1000), []).append(r)
+        return by
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new: dict[int, list] = {}
+        timer, parts, held, memory = self._held()
+        first = None
         for r in rows:
             at = micros(r["ts"])
-            new.setdefault(at // (self.slot_ms * 1000), []).append([at, r["order"], r["state"], r["payload"]])
-        for slot, own in new.items():
-            held = json.loads(self.slots.getValue((slot,))[0]) if self.slots.containsKey((slot,)) else []
-            if not held:
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
-            self.slots.updateValue((slot,), (json.dumps(held + own),))
+            first = at if first is None or at < first else first
+            held.append([at, r["order"], r["state"], r["payload"]])
+            if len(held) > self.most:
+                for slot, own in self._by_slot(held).items():
+                    self.slots.updateValue((slot, parts), (json.dumps(own),))
+                parts, held = parts + 1, []
+        end = (first // (self.slot_ms * 1000) + 1) * self.slot_ms
+        if timer is None or end < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+            timer = end
+        self.held.update((timer, parts, json.dumps(held), memory))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (end // self.slot_ms - 1,)
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else self.rule.start()
-        if self.slots.containsKey(slot):
-            for at, order, state, payload in sorted(json.loads(self.slots.getValue(slot)[0]), key=lambda r: (r[0], r[1])):
+        _, parts, held, told = self._held()
+        memory = json.loads(told) if told else self.rule.start()
+        over = timerValues.getCurrentWatermarkInMs() // self.slot_ms
+        near, far = self._by_slot(held), {}
+        for slot, part in self.slots.keys() if parts else ():
+            far.setdefault(slot, []).append(part)
+        for slot in sorted(s for s in near.keys() | far.keys() if s < over):
+            own = near.pop(slot, [])
+            for part in far.pop(slot, ()):
+                own += json.loads(self.slots.getValue((slot, part))[0])
+                self.slots.removeKey((slot, part))
+            for at, order, state, payload in sorted(own, key=lambda r: (r[0], r[1])):
                 yield from self._rows(self.rule.row(key[0], at, order, state, payload, memory))
-            self.slots.removeKey(slot)
+        ahead = min(near.keys() | far.keys(), default=None)
+        timer = None if ahead is None else (ahead + 1) * self.slot_ms
         if self.rule.goes_on(memory):
-            # Nothing earlier can come any more than the next slot that is held, or than the slots that the watermark has passed.
-            over = timerValues.getCurrentWatermarkInMs() // self.slot_ms
-            ahead = min((k[0] for k in self.slots.keys()), default=None)
-            yield from self._rows(self.rule.passed(key[0], (over if ahead is None else min(ahead, over)) * self.slot_ms * 1000, memory))
-            if ahead is None:
-                self.handle.registerTimer((over + 1) * self.slot_ms)
-        self.memory.update((json.dumps(memory),))
+            # What is held lies ahead of the slots that the watermark has passed, and nothing earlier can come any more.
+            yield from self._rows(self.rule.passed(key[0], over * self.slot_ms * 1000, memory))
+            timer = timer or (over + 1) * self.slot_ms
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.held.update((timer, parts if far else 0, json.dumps([r for own in near.values() for r in own]), json.dumps(memory)))
 
     def _rows(self, found: Iterator[tuple]) -> Iterator[Row]:
-        names = [c.split()[0] for c in self.rule.output.split(", ")]
-        return (Row(**dict(zip(names, x))) for x in found)
+        return (self.made(*x) for x in found)
 
     def close(self) -> None:
         pass

@@ -1,12 +1,13 @@
 """State over rows in order: one answer for any split into files and any order of the files."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
 
 from quarrymill.streaming import feeds
-from quarrymill.streaming.ordered import Beats, Changes, Merged, Topics, in_order, with_end
+from quarrymill.streaming.ordered import Beats, Changes, Merged, Ordered, Topics, in_order, with_end
 
 BEGIN = datetime(2024, 5, 1)
 SCHEMA = "id long, ts timestamp, k long, s string, p string"
@@ -99,3 +100,70 @@ def test_nothing_in_nothing_out(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(path)
     stream, end = with_end(feeds.read_stream(spark, path))
     assert feeds.drain(feeds.state_changes(stream, "k", "s", "id"), end=lambda: end(BEGIN)).collect() == []
+
+
+class _Handle:
+    """One key's state in memory; counts the calls, each of which goes to Spark and back."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def _did(self, x=None):
+        self.calls += 1
+        return x
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self._did(self.value), exists=lambda: self._did(self.value is not None), update=lambda v: self._did(setattr(self, "value", v)))
+
+    def getMapState(self, *_):
+        return SimpleNamespace(
+            keys=lambda: self._did(list(self.map)), containsKey=lambda k: self._did(k in self.map), getValue=lambda k: self._did(self.map.get(k)),
+            updateValue=lambda k, v: self._did(self.map.update({k: v})), removeKey=lambda k: self._did(self.map.pop(k)),
+        )
+
+    def registerTimer(self, t):
+        self._did(self.timers.add(t))
+
+    def deleteTimer(self, t):
+        self._did(self.timers.remove(t))
+
+    def fire(self, processor, until):
+        out = []
+        while due := sorted(t for t in self.timers if t < until):
+            at = SimpleNamespace(getCurrentWatermarkInMs=lambda: until), SimpleNamespace(getExpiryTimeInMs=lambda: due[0])
+            out += [tuple(r) for r in processor.handleExpiredTimer((7,), *at)]
+            self.timers.remove(due[0])
+        return out
+
+
+def _fed(rule, rows, triggers, **held):
+    handle, processor = _Handle(), Ordered(rule, 86_400_000, **held)
+    processor.init(handle)
+    for n in range(triggers):
+        list(processor.handleInputRows((7,), iter(rows[n::triggers]), None))
+    return handle, processor
+
+
+def _scattered(n):
+    rows = [{"ts": BEGIN.replace(tzinfo=timezone.utc) + timedelta(hours=11 * i), "order": i, "state": "ab"[i % 3 == 0], "payload": None} for i in range(n)]
+    random.Random(5).shuffle(rows)
+    return rows
+
+
+def test_a_key_with_few_rows_costs_few_calls():
+    handle, processor = _fed(Changes("bigint"), _scattered(60), 2)
+    out = handle.fire(processor, 1_800_000_000_000)
+    assert [r[1] for r in out] == [i for i in range(60) if i % 3 < 2]
+    assert handle.calls <= 10  # the 60 rows lie in 28 slots
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 1000])
+def test_rows_beyond_the_first_wait_by_slot(most):
+    handle, processor = _fed(Merged("bigint"), _scattered(50), 4, most=most)
+    assert bool(handle.map) == (most < 50)
+    begin = int(BEGIN.replace(tzinfo=timezone.utc).timestamp() * 1000)
+    early = handle.fire(processor, begin + 10 * 86_400_000 + 1)
+    assert [r[1] for r in early] == list(range(22))  # 240 hours
+    assert len(handle.timers) == 1
+    assert [r[1:3] for r in early + handle.fire(processor, 1_800_000_000_000)] == [(i, i + 1) for i in range(50)]
+    assert handle.map == {} and handle.timers == set()
