@@ -120,18 +120,37 @@ def any_case(v: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(text(v, p), F.lit("")) for p in paths], F.lit(""))
 
 
-def wrapped_blocks(blocks_: DataFrame, by: str = "page_id") -> DataFrame:
-    """``(by, product, rating, review)``: the first product, and the first rating and review, in an object of that key or by type.
+def wrapped_blocks(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """``(keep..., product, rating, review)``: a page's first product, and its first rating and review, in an object of that key or by type.
 
-    Only the first object of a block counts: a product, else a rating's or review's key, else the type.
+    Only the first object of a block counts: a product, else a rating's or review's key, else the type. Pages without blocks
+    have no row. All is done within the page's row: nothing is sorted, grouped or shuffled.
     """
-    place, v = F.struct("script_pos", "item_pos"), F.col("block")
-    kind = F.coalesce(text(v, '$["@type"]'), F.lit(""))
-    inner = {k: F.try_variant_get(v, f"$.{k}", "variant") for k in ("aggregateRating", "review")}
-    role = F.when(kind == "Product", "product").when(inner["aggregateRating"].isNotNull(), "rating").when(inner["review"].isNotNull(), "review").when(kind == "AggregateRating", "rating").when(kind == "Review", "review")
-    found = blocks_.select(by, place.alias("place"), role.alias("role"), F.when(role == "rating", F.coalesce(inner["aggregateRating"], v)).when(role == "review", F.coalesce(inner["review"], v)).otherwise(v).alias("value"))
-    good = found.filter(is_object(F.col("value")))
-    return good.groupBy(by).agg(*[F.min_by(F.when(F.col("role") == r, F.col("value")), F.when(F.col("role") == r, F.col("place"))).alias(r) for r in ("product", "rating", "review")])
+    parsed = F.transform(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1)), lambda raw: F.try_parse_json(F.regexp_replace(raw, r"^\s+|\s+$", "")))
+    items = F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: F.coalesce(elements(v), F.array(v))))
+    keys = ("aggregateRating", "review")
+
+    def facts(v: Column) -> Column:
+        return F.struct(F.coalesce(text(v, '$["@type"]'), F.lit("")).alias("kind"), *[F.try_variant_get(v, f"$.{k}", "variant").alias(k) for k in keys], v.alias("own"))
+
+    def role(x: Column) -> Column:
+        kind = x["kind"]
+        r = F.when(kind == "Product", "product").when(x["aggregateRating"].isNotNull(), "rating").when(x["review"].isNotNull(), "review").when(kind == "AggregateRating", "rating").when(kind == "Review", "review")
+        return F.struct(r.alias("role"), x.alias("of"))
+
+    def value(y: Column) -> Column:
+        x = y["of"]
+        v = F.when(y["role"] == "rating", F.coalesce(x["aggregateRating"], x["own"])).when(y["role"] == "review", F.coalesce(x["review"], x["own"])).otherwise(x["own"])
+        return F.struct(y["role"].alias("role"), v.alias("value"))
+
+    each = F.transform(F.transform(F.transform(F.filter(items, is_object), facts), role), value)
+    good = F.filter(each, lambda x: is_object(x["value"]))
+
+    def first(found: Column, r: str) -> Column:
+        return F.get(F.filter(found, lambda x: x["role"] == r), F.lit(0))["value"].alias(r)
+
+    firsts = F.transform(F.filter(F.array(good), lambda found: F.size(found) > 0), lambda found: F.struct(*[first(found, r) for r in ("product", "rating", "review")]))
+    return pages.select(*keep, F.inline(firsts))
 
 
 def category_path(v: Column, key: str = "category") -> Column:

@@ -68,3 +68,20 @@ def test_jsonld_shapes(spark):
     assert of(jsonld.pictures, '{"image": "a"}', '{"image": [{"url": "b"}, "c", null]}', "{}") == [["a"], ["b", "c"], []]
     assert of(jsonld.salary, '{"baseSalary": {"value": {"minValue": 1, "maxValue": 2, "unitText": "HOUR"}}}', "{}") == ["$1 - $2 HOUR", ""]
     assert values(spark, ["x"], lambda c: jsonld.longest_tag(F.array(F.lit("cat:a"), F.lit("cat:bbb"), F.lit("cat:ccc"), F.lit("zzzzzzzz")))) == ["cat:bbb"]
+
+
+def test_wrapped_blocks_stay_in_their_page(spark):
+    """First of a role in page order, its own object where a key holds no object, no row without objects; nothing is sorted or shuffled."""
+    def page(*scripts):
+        return "".join(f'<script type="application/ld+json">{s}</script>' for s in scripts)
+
+    htmls = [
+        page("{bad", '[7, {"review": {"a": 1}}, {"@type": "Product", "n": 1}]', '{"@type": "Product", "n": 2}', '{"@type": "AggregateRating", "n": 3}'),
+        page('{"aggregateRating": 5}'), page('{"@type": "Other"}'), "", None,
+    ]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")
+    found = jsonld.wrapped_blocks(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    got = found.select("page_id", *[F.to_json(c) for c in ("product", "rating", "review")]).collect()
+    assert sorted(map(tuple, got)) == [(0, '{"@type":"Product","n":1}', '{"@type":"AggregateRating","n":3}', '{"a":1}'), (2, None, None, None)]
