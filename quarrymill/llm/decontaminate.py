@@ -84,11 +84,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     df = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), _words(docs[text_col]).alias("words"))
     df = _with_hashes(df)
-    starts = F.filter(
-        F.transform("lowest", lambda h, i: F.when((i % RUN == 0) | (h != F.get("lowest", i - 1)), i)),
-        lambda i: i.isNotNull(),
-    )
-    runs = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("size"), F.get("lowest", i).alias("print"), F.slice("words", i + 1, WINDOW + RUN - 1).alias("context")))
+    def start(h: Column, i: Column) -> Column:
+        run = F.struct(i.alias("at"), F.lit(WINDOW).alias("size"), h.alias("print"), F.slice("words", i + 1, WINDOW + RUN - 1).alias("context"))
+        return F.when((i % RUN == 0) | (h != F.get("lowest", i - 1)), run)
+
+    runs = F.filter(F.transform("lowest", start), lambda r: r.isNotNull())
     # One more row stands for the document itself; it has a size that no window has.
     itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("size"), F.xxhash64("id").alias("print"), F.slice("words", 1, 0).alias("context")))
     wanted = [itself, *([runs] if WINDOW in held["sizes"] else []), *[F.coalesce(_all_grams(n), F.filter(itself, lambda _: F.lit(False))) for n in sorted(held["sizes"]) if n < WINDOW]]
